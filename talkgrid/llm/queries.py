@@ -79,3 +79,17 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = removed_lines(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed"))
+
+
+@query("op5_licence_classifier")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from talkgrid.llm.licences import find_licences
+
+    return find_licences(table(spark, sf_dir, "documents"))
+
+
+@query("op7_role_repair")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from talkgrid.llm.chat import repair
+
+    return repair(table(spark, sf_dir, "conversations"))
