@@ -13,12 +13,15 @@ are not scored.
 
 from __future__ import annotations
 
+import json
 import random
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talkgrid.session import durable
+
 #: Documents whose paragraphs train the unknown class, by a hash of doc_id.
 SAMPLE_DOCUMENTS = 300
 COPIES, EPOCHS, RATE, DECAY = 40, 60, 0.3, 1e-3
@@ -147,10 +150,6 @@ def train(unknown: list[str], seed: int = 5) -> Classifier:
     return Classifier(families, {g: w[i].round(6).tolist() for g, i in vocabulary.items()}, b.round(6).tolist(), threshold)
 
 
-def _literal(values: list[str]) -> Column:
-    return F.split(F.lit("\n".join(values)), "\n")
-
-
 def _grams(tokens: Column, n: int) -> Column:
     return F.transform(
         F.when(F.size(tokens) >= n, F.slice(tokens, F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.expr("cast(array() as array<string>)")),
@@ -163,9 +162,10 @@ def find_licences(docs: DataFrame) -> DataFrame:
 
     One row for each paragraph of a licence family; of templates that share as
     much the first by text is named. Null and empty texts have none; repeated
-    rows give equal rows; a null doc_id is kept; other columns are ignored; an
+    rows give one row; a null doc_id is kept; other columns are ignored; an
     empty table gives no row.
     """
+    spark = docs.sparkSession
     sample = docs.where("text is not null").select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCUMENTS).collect()
     model = train(sorted({line for r in sample for line in r.text.split("\n") if line.strip()}))
     pairs = sorted(g for g in model.weights if g.count(" ") == 1)
@@ -174,35 +174,36 @@ def find_licences(docs: DataFrame) -> DataFrame:
     # every 2-gram has one of these words, which is cheap to test on the whole line
     lead = sorted({max((w for w in g.split(" ") if w not in STOP), key=len) for g in pairs})
     lines = lines.where(F.lower("line").rlike("(?<![a-z0-9])(?:" + "|".join(lead) + ")(?![a-z0-9])"))
-    tokens = lines.select("doc_id", "paragraph", F.filter(F.split(F.lower("line"), _WORD_BREAK), lambda w: w != "").alias("tokens"))
-    twos = tokens.select("doc_id", "paragraph", "tokens", F.array_intersect(_grams(F.col("tokens"), 2), _literal(pairs)).alias("twos")).where(F.size("twos") > 0)
-    found = twos.select("doc_id", "paragraph", "twos", F.array_union("twos", F.array_intersect(_grams(F.col("tokens"), 3), _literal([g for g in model.weights if g not in pairs]))).alias("all"))
-
-    names = list(model.weights)
-    places = F.transform("all", lambda g: F.array_position(_literal(names), g))
-
-    def logit(k: int) -> Column:
-        table = _literal([repr(model.weights[g][k]) for g in names]).cast("array<double>")
-        return F.aggregate("places", F.lit(model.bias[k]), lambda acc, i: acc + F.element_at(table, i.cast("int")))
-
-    logits = F.array(*map(logit, range(len(model.families))))
-    scored = found.select("doc_id", "paragraph", "twos", places.alias("places")).select("doc_id", "paragraph", "twos", logits.alias("z"))
+    tokens = lines.select("doc_id", "paragraph", F.xxhash64("line").alias("lh"), F.filter(F.split(F.lower("line"), _WORD_BREAK), lambda w: w != "").alias("tokens"))
+    own = tokens.select("doc_id", "paragraph", "lh", F.explode(F.array_distinct(F.concat(_grams(F.col("tokens"), 2), _grams(F.col("tokens"), 3)))).alias("g"))
+    table, templates = _features(spark, model)
+    met = own.join(F.broadcast(table), "g").groupBy("doc_id", "paragraph", "lh")
+    sums = met.agg(
+        *[(F.sum(F.get("w", F.lit(k))) + F.lit(model.bias[k])).alias(f"z{k}") for k in range(len(model.families))],
+        *[(F.sum(F.get("t", F.lit(k)))).alias(f"t{k}") for k in range(len(templates))],
+    )
+    # few rows; a stage of their own keeps the generated code small
+    z = durable(sums.select("doc_id", "paragraph", F.array(*[f"z{k}" for k in range(len(model.families))]).alias("z"), F.array(*[f"t{k}" for k in range(len(templates))]).alias("t")))
+    names = F.split(F.lit("\n".join(model.families)), "\n")
     top = F.array_max("z")
-    total = F.aggregate(F.transform("z", lambda v: F.exp(v - F.array_max("z"))), F.lit(0.0), lambda a, v: a + v)
-    best = scored.select("doc_id", "paragraph", "twos", F.element_at(_literal(model.families), F.array_position("z", top).cast("int")).alias("family"), (1 / total).alias("probability"))
+    best = z.select(
+        "doc_id", "paragraph", "t",
+        F.element_at(names, F.array_position("z", top).cast("int")).alias("family"),
+        (1 / F.aggregate("z", F.lit(0.0), lambda acc, v: acc + F.exp(v - F.array_max("z")))).alias("probability"),
+    )
     best = best.where((F.col("family") != UNKNOWN) & (F.col("probability") >= model.threshold))
-    templates = [(f, t, grams(words(t), 2)) for f, texts in NOTICES.items() for t in texts]
-    compared = F.array(
-        *[
-            F.struct(
-                F.when(F.col("family") == f, F.size(F.array_intersect("twos", _literal(sorted(set(g))))) / len(set(g))).otherwise(F.lit(0.0)).alias("shared"),
-                F.lit(t).alias("template"),
-            )
-            for f, t, g in sorted(templates, key=lambda x: x[1], reverse=True)
-        ]
-    )
+    notices = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps([{"family": f, "template": t, "n": n, "k": k} for k, (f, t, n) in enumerate(templates)])), "array<struct<family:string,template:string,n:int,k:int>>")).alias("r")).select("r.*")
+    compared = best.join(F.broadcast(notices), "family").withColumn("shared", F.get("t", F.col("k")) / F.col("n")).where(F.col("shared") >= CONFIRM)
     return (
-        best.withColumn("c", F.array_max(compared))
-        .where(F.col("c.shared") >= CONFIRM)
-        .select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), "family", "probability", F.col("c.template").alias("template"), F.col("c.shared").alias("shared"))
+        compared.groupBy("doc_id", "paragraph", "family", "probability")
+        .agg(F.min(F.struct(-F.col("shared"), "template", "shared")).alias("c"))
+        .select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), "family", "probability", "c.template", "c.shared")
     )
+
+
+def _features(spark: SparkSession, model: Classifier) -> tuple[DataFrame, list[tuple[str, str, int]]]:
+    """One row for each gram of the notices: its weights, and the notices that have it as a 2-gram; the notices with their numbers of 2-grams."""
+    templates = sorted(((f, t, set(grams(words(t), 2))) for f, texts in NOTICES.items() for t in texts), key=lambda x: x[1])
+    rows = [{"g": g, "w": w, "t": [int(g in own) for _, _, own in templates]} for g, w in model.weights.items()]
+    table = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), "array<struct<g:string,w:array<double>,t:array<int>>>")).alias("r")).select("r.*")
+    return table, [(f, t, len(own)) for f, t, own in templates]

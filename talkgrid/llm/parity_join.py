@@ -256,7 +256,7 @@ def _close_pairs(still: DataFrame, sketches: DataFrame, threshold: tuple[int, in
     return rows.mapInArrow(_close(threshold), "u long, v long").distinct()
 
 
-def jaccard_components(docs: DataFrame, width: int = 3, threshold: tuple[int, int] = (9, 10)) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 3, threshold: tuple[int, int] = (9, 10), text_hash: bool = False) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, class_id.
 
     Documents link when the Jaccard index of their sets of width-word shingles
@@ -310,7 +310,23 @@ def jaccard_components(docs: DataFrame, width: int = 3, threshold: tuple[int, in
     classes = durable(rows.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("least")).join(labels.withColumnRenamed("node", "c1"), "c1", "left").withColumn("label", F.coalesce("label", "c1")))
     least = classes.groupBy("label").agg(F.min("least").alias("component_id"))
     named = durable(classes.join(least, "label").select("c1", "c2", "component_id", "label"))
-    return (
-        rows.join(named, ["c1", "c2"], "left")
-        .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("c1").alias("class_id"))
+    out = rows.join(named, ["c1", "c2"], "left").select(
+        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("c1").alias("class_id"), "label", "th"
     )
+    return out if text_hash else out.drop("label", "th")
+
+
+
+def keep_first(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (8, 10)) -> DataFrame:
+    """The rows of docs, all columns, that are first in their component: with the least doc_id, then the least hash of the text.
+
+    Rows without shingles stay, and of equal rows one; a component of rows with
+    a null doc_id keeps one of them.
+    """
+    found = jaccard_components(docs, width, threshold, text_hash=True)
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "th")
+    first = found.where("n_shingles > 0").groupBy("label").agg(F.min(rank).alias("f")).select("f.doc_id", "f.th")
+    first = durable(first.union(found.where("n_shingles = 0").select("doc_id", "th")).distinct())
+    x, y = docs.withColumn("__th", F.xxhash64("text")).alias("x"), first.alias("y")
+    rows = x.join(y, F.col("x.doc_id").cast("long").eqNullSafe(F.col("y.doc_id")) & (F.col("x.__th") == F.col("y.th")), "left_semi")
+    return rows.drop("__th").dropDuplicates(["doc_id", "text"])

@@ -1,11 +1,13 @@
 """Risk-controlled quality rules, with SQL functions only.
 
-Each rule rejects a document whose statistic exceeds a cutoff. A cutoff is
-chosen per stratum on labelled documents of good quality: the lowest one whose
-count of rejected good documents is small enough that, by the exact binomial
-tail, a false rejection rate above RISK / rules has a probability of at most
-ERROR / (rules * strata) of giving it (Bonferroni). A stratum with too few
-labels gets no cutoff and rejects nothing.
+Each rule rejects a document whose statistic exceeds a cutoff. Cutoffs are
+chosen per stratum on labelled documents. Those are allowed whose count of
+rejected good documents is so small that, by the exact binomial tail, a false
+rejection rate above RISK / rules has a probability of at most
+ERROR / (rules * strata) of giving it (Bonferroni). Allowed cutoffs are nested,
+so the choice among them is free: it goes to the one that catches most bad
+documents for the good ones that it loses. A stratum with too few labels gets
+no cutoff and rejects nothing.
 """
 
 from __future__ import annotations
