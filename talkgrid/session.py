@@ -27,15 +27,17 @@ def build_session(cores: int = 8, app: str = "talkgrid", **conf: str) -> SparkSe
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, or a local one where that is unset (tests, a single machine)."""
+    context = spark.sparkContext
+    held = context._jsc.sc().getCheckpointDir()
+    if held.isEmpty():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="talkgrid-ckpt-"))
+        held = context._jsc.sc().getCheckpointDir()
+    return held.get()
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of df in the shared checkpoint folder.
-
-    The folder comes from the session's spark.checkpoint.dir; a machine-local
-    one is set only when that is unset (tests, a single machine).
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(
-            context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="talkgrid-ckpt-")
-        )
+    """Cut the lineage of df by a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
