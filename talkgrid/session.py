@@ -37,7 +37,16 @@ def shared_folder(spark: SparkSession) -> str:
     return held.get()
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of df by a checkpoint in the shared folder."""
+    """Cut the lineage of df by a checkpoint in the shared folder; the shuffle files that made it go at once."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        conf.set(_CLEANUP, before)
