@@ -173,12 +173,12 @@ def _linked(pairs: DataFrame, members: DataFrame, threshold: tuple[int, int]) ->
 
 
 def _parity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parity sketches of a power of two of bits, eight or more a shingle; a longer one folds into a shorter one by XOR."""
+    """Parity sketches of a power of two of bits, two or more a shingle; a longer one folds into a shorter one by XOR."""
     for batch in batches:
         sizes, sketches = [], []
         for raw in batch.column(1):
             h = mix(np.frombuffer(raw.as_buffer(), np.uint64) ^ _C2)
-            words = 1 << max(2, (len(h) // 8).bit_length())
+            words = 1 << max(2, (len(h) // 32).bit_length())
             sketch = np.zeros(words, dtype=np.uint64)
             np.bitwise_xor.at(sketch, ((h >> _U(6)) & _U(words - 1)).astype(np.int64), _U(1) << (h & _U(63)))
             sizes.append(len(h))
