@@ -93,3 +93,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from talkgrid.llm.chat import repair
 
     return repair(table(spark, sf_dir, "conversations"))
+
+
+@query("op10_suffix_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from talkgrid.llm.suffix_dedup import remove_repeats
+
+    rows = remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
