@@ -28,11 +28,13 @@ LEAST_WORDS = 5
 BUCKETS = 1 << 16
 _HASH_BITS = 51
 _MASK = (1 << _HASH_BITS) - 1
-_SPACE_RUN = r"[\x20\x09-\x0D]+"
+# What separates words.
+_SPACES = " \t\n\x0b\x0c\r"
 
 
-def _hashes(line: Column) -> Column:
-    return F.array_distinct(F.transform(F.filter(F.split(F.lower(line), _SPACE_RUN), lambda w: w != ""), lambda w: F.xxhash64(w)))
+def _words(text: Column) -> Column:
+    """The lower-cased words in order, through one-character splits only."""
+    return F.array_remove(F.split(F.translate(F.lower(text), _SPACES, " " * len(_SPACES)), " "), "")
 
 
 def _bucket(h: Column) -> Column:
@@ -41,8 +43,8 @@ def _bucket(h: Column) -> Column:
 
 def _ranks(docs: DataFrame) -> Column:
     """A literal array: the rank, 0 to 4095, of each bucket by how many words of the corpus it holds."""
-    words = F.transform(F.filter(F.split(F.lower("text"), _SPACE_RUN), lambda w: w != ""), lambda w: _bucket(F.xxhash64(w)))
-    counts = docs.select(F.explode(words).alias("b")).groupBy("b").agg(F.count("*").alias("n"))
+    words = docs.select(F.explode(_words(F.col("text"))).alias("w"))
+    counts = words.select(_bucket(F.xxhash64("w")).alias("b")).groupBy("b").agg(F.count("*").alias("n"))
     rank = F.least(F.lit(4095), F.floor(F.log2(F.col("n") + 1) * 96)).cast("long")
     ranked = counts.select("b", rank.alias("r"))
     # at most BUCKETS rows, kept as one literal
@@ -54,13 +56,17 @@ def _ranks(docs: DataFrame) -> Column:
 
 def _tokens(line: Column, ranks: Column) -> Column:
     """Sorted values of a line's words: the rank in the high bits, the hash below."""
-    return F.sort_array(F.transform(_hashes(line), lambda h: F.shiftleft(F.element_at(ranks, _bucket(h) + 1), _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit(_MASK)))))
 
+    def value(w: Column) -> Column:
+        h = F.xxhash64(w)
+        return F.shiftleft(F.element_at(ranks, _bucket(h) + 1), _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit(_MASK)))
 
-def _xor(tokens: Column, low: int) -> Column:
-    """A 64-bit half of the parity sketch: each word flips one of 128 bits."""
-    bit = lambda x: F.when(F.shiftright(x, 6).bitwiseAND(F.lit(1)) == low, F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long"))
-    return F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(bit(x)))
+    return F.sort_array(F.array_distinct(F.transform(_words(line), value)))
+
+
+def _parity(tokens: Column) -> Column:
+    """A 64-bit parity sketch: each word flips one bit."""
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
 
 
 def _earlier(a: str, b: str) -> Column:
@@ -87,28 +93,30 @@ def removed_lines(docs: DataFrame) -> DataFrame:
             "doc_id", "th", "line_no", F.xxhash64("tokens").alias("sh"), n.alias("n"),
             # two different sets of fewer than 9 and 10 words are never similar enough
             F.when(n * 2 + 1 >= (DEN + NUM) // (DEN - NUM), F.slice("tokens", F.lit(1), prefix)).alias("prefix"),
-            _xor(F.col("tokens"), 0).alias("x0"), _xor(F.col("tokens"), 1).alias("x1"),
+            _parity(F.col("tokens")).alias("x"),
         )
     )
-    first = F.min(F.struct("doc_id", "line_no", "th", "prefix", "x0", "x1")).alias("f")
+    first = F.min(F.struct("doc_id", "line_no", "th", "prefix", "x")).alias("f")
     classes = durable(described.groupBy("sh", "n").agg(first).select("sh", "n", "f.*"))
-    buckets = classes.where("prefix is not null").select("sh", "n", "doc_id", "line_no", "x0", "x1", F.posexplode("prefix").alias("i", "token"))
+    buckets = classes.where("prefix is not null").select("sh", "n", "doc_id", "line_no", "x", F.posexplode("prefix").alias("i", "token"))
 
     s, r = buckets.alias("s"), buckets.alias("r")
     sizes = F.col("s.n") + F.col("r.n")
     need = F.ceil(sizes * NUM / (NUM + DEN))
     most = F.floor(sizes * (DEN - NUM) / (NUM + DEN))
-    far = F.bit_count(F.col("s.x0").bitwiseXOR(F.col("r.x0"))) + F.bit_count(F.col("s.x1").bitwiseXOR(F.col("r.x1")))
+    far = F.bit_count(F.col("s.x").bitwiseXOR(F.col("r.x")))
     fits = (
         _earlier("r", "s")
         & (DEN * F.least("s.n", "r.n") >= NUM * F.greatest("s.n", "r.n"))
         & (F.least(F.col("s.n") - F.col("s.i"), F.col("r.n") - F.col("r.i")) >= need)
     )
-    close = durable(s.join(r, (F.col("s.token") == F.col("r.token")) & fits & (far <= most), "left_semi").select("token", "sh", "n", "doc_id", "line_no", "i"))
+    meet = (F.col("s.token") == F.col("r.token")) & fits & (far <= most)
+    close = durable(s.join(r, meet, "left_semi").select("token", "sh", "n", "doc_id", "line_no", "x", "i"))
+    partners = durable(buckets.alias("r").join(close.alias("s"), meet, "left_semi").select("token", "sh", "n", "doc_id", "line_no", "i"))
 
     # the sets of the lines that meet there, from their texts again
-    partners = buckets.join(close.select("token").distinct(), "token", "left_semi").select("token", "sh", "n", "doc_id", "line_no", "i")
-    wanted = classes.join(partners.select("sh", "n").distinct(), ["sh", "n"], "left_semi").groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("numbers"))
+    both = close.select("sh", "n").union(partners.select("sh", "n")).distinct()
+    wanted = classes.join(both, ["sh", "n"], "left_semi").groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("numbers"))
     x, w = rows.select("doc_id", "text", F.xxhash64("text").alias("th")).alias("x"), wanted.alias("w")
     texts = x.join(w, F.col("x.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("x.th") == F.col("w.th"))).select("text", "numbers").distinct()
     again = texts.select(F.explode(F.transform("numbers", lambda i: F.get(F.split("text", "\n"), i))).alias("line"))
