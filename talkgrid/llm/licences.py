@@ -170,12 +170,12 @@ def find_licences(docs: DataFrame) -> DataFrame:
     model = train(sorted({line for r in sample for line in r.text.split("\n") if line.strip()}))
     pairs = sorted(g for g in model.weights if g.count(" ") == 1)
 
-    lines = docs.select("doc_id", F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("paragraph", "line"))
+    lines = docs.select("doc_id", F.posexplode_outer(F.split(F.col("text").cast("string"), "\n")).alias("paragraph", "line"))
     # every 2-gram has one of these words, which is cheap to test on the whole line
     lead = sorted({max((w for w in g.split(" ") if w not in STOP), key=len) for g in pairs})
     lines = lines.where(F.lower("line").rlike("(?<![a-z0-9])(?:" + "|".join(lead) + ")(?![a-z0-9])"))
     tokens = lines.select("doc_id", "paragraph", F.xxhash64("line").alias("lh"), F.filter(F.split(F.lower("line"), _WORD_BREAK), lambda w: w != "").alias("tokens"))
-    own = tokens.select("doc_id", "paragraph", "lh", F.explode(F.array_distinct(F.concat(_grams(F.col("tokens"), 2), _grams(F.col("tokens"), 3)))).alias("g"))
+    own = tokens.select("doc_id", "paragraph", "lh", F.explode_outer(F.array_distinct(F.concat(_grams(F.col("tokens"), 2), _grams(F.col("tokens"), 3)))).alias("g"))
     table, templates = _features(spark, model)
     met = own.join(F.broadcast(table), "g").groupBy("doc_id", "paragraph", "lh")
     sums = met.agg(

@@ -43,7 +43,8 @@ def _bucket(h: Column) -> Column:
 
 def _ranks(docs: DataFrame) -> Column:
     """A literal array: the rank, 0 to 4095, of each bucket by how many words of the corpus it holds."""
-    words = docs.select(F.explode(_words(F.col("text"))).alias("w"))
+    # outer generators, as the optimizer evaluates the argument of the others twice
+    words = docs.select(F.explode_outer(_words(F.col("text"))).alias("w"))
     counts = words.select(_bucket(F.xxhash64("w")).alias("b")).groupBy("b").agg(F.count("*").alias("n"))
     rank = F.least(F.lit(4095), F.floor(F.log2(F.col("n") + 1) * 96)).cast("long")
     ranked = counts.select("b", rank.alias("r"))
@@ -84,8 +85,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
     ranks = _ranks(rows)
-    lines = rows.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    sets = lines.select("doc_id", "th", "line_no", _tokens(F.col("line"), ranks).alias("tokens")).where(F.size("tokens") >= LEAST_WORDS)
+    lines = rows.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
+    # generated, so that the filter is not pushed below it and the sets are made once
+    sets = lines.select("doc_id", "th", "line_no", F.explode_outer(F.array(_tokens(F.col("line"), ranks))).alias("tokens")).where(F.size("tokens") >= LEAST_WORDS)
     n = F.size("tokens")
     prefix = n - F.ceil(n * NUM / DEN).cast("int") + 1
     described = durable(
