@@ -5,6 +5,214 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from talkgrid.functions import text as T
+from talkgrid.operators import intervals as I
+from talkgrid.operators import sessions as S
+from talkgrid.operators import vectors as V
+from talkgrid.sources import adapters as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return keep
+
+
+_TURNS_SQL = f"""WITH RECURSIVE {A.SEGMENTS_SQL},
+fold AS (
+  SELECT recording_id, seg_ord, start, "end", speaker, text, 0 AS grp, start AS t0 FROM segments WHERE seg_ord = 1
+  UNION ALL
+  SELECT s.recording_id, s.seg_ord, s.start, s."end", s.speaker, s.text,
+    CASE WHEN s.speaker = f.speaker AND s.start - f."end" <= 1.25 AND s."end" - f.t0 <= 30.0 THEN f.grp ELSE f.grp + 1 END,
+    CASE WHEN s.speaker = f.speaker AND s.start - f."end" <= 1.25 AND s."end" - f.t0 <= 30.0 THEN f.t0 ELSE s.start END
+  FROM fold f JOIN segments s ON s.recording_id = f.recording_id AND s.seg_ord = f.seg_ord + 1),
+turns0 AS (SELECT recording_id, grp AS turn_ord, arg_min(start, seg_ord) AS start, arg_max("end", seg_ord) AS "end", any_value(speaker) AS speaker,
+  count(*) AS n_segments, string_agg(text, ' ' ORDER BY seg_ord) AS text FROM fold GROUP BY 1, 2),
+turns AS (SELECT *, coalesce(greatest(0.0::DOUBLE, start - max("end") OVER (PARTITION BY recording_id ORDER BY turn_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 0.0::DOUBLE) AS pause_before,
+  printf('turn-%06d', turn_ord) AS turn_id FROM turns0)
+"""
+
+
+@query("turns_build", _TURNS_SQL + "SELECT * FROM turns")
+def turns_build(spark, d):
+    return S.build_turns(A.segments(spark, d))
+
+
+@query(
+    "paragraphs_build",
+    _TURNS_SQL
+    + """, w AS (SELECT *, len(regexp_split_to_array(text, '\\s+')) AS words FROM turns),
+pf AS (SELECT recording_id, turn_ord, speaker, words, 0 AS grp, words AS total FROM w WHERE turn_ord = 0
+  UNION ALL SELECT w.recording_id, w.turn_ord, w.speaker, w.words,
+    CASE WHEN w.speaker = p.speaker AND w.pause_before < 2.0 AND p.total + w.words <= 250 THEN p.grp ELSE p.grp + 1 END,
+    CASE WHEN w.speaker = p.speaker AND w.pause_before < 2.0 AND p.total + w.words <= 250 THEN p.total + w.words ELSE w.words END
+  FROM pf p JOIN w ON w.recording_id = p.recording_id AND w.turn_ord = p.turn_ord + 1)
+SELECT recording_id, grp AS paragraph, any_value(speaker) AS speaker, min(turn_ord) AS first_turn, max(turn_ord) AS last_turn, sum(words)::BIGINT AS words FROM pf GROUP BY 1, 2""",
+)
+def paragraphs_build(spark, d):
+    return S.build_paragraphs(S.build_turns(A.segments(spark, d)))
+
+
+@query(
+    "speaker_runs",
+    f"""WITH {A.SEGMENTS_SQL},
+a AS (SELECT *, CASE WHEN lag(speaker) OVER w = speaker THEN 0 ELSE 1 END AS c FROM segments WINDOW w AS (PARTITION BY recording_id ORDER BY seg_ord)),
+b AS (SELECT *, sum(c) OVER (PARTITION BY recording_id ORDER BY seg_ord) AS island FROM a),
+e AS (SELECT *, CASE WHEN start - max("end") OVER (PARTITION BY recording_id, island ORDER BY seg_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 0.45 THEN 0 ELSE 1 END AS n FROM b),
+r AS (SELECT *, sum(n) OVER (PARTITION BY recording_id ORDER BY seg_ord)::BIGINT AS run FROM e)
+SELECT recording_id, run, any_value(speaker) AS speaker, min(start) AS start, max("end") AS "end", count(*) AS n_rows FROM r GROUP BY 1, 2""",
+)
+def speaker_runs(spark, d):
+    return S.speaker_runs(A.segments(spark, d), "seg_ord")
+
+
+_MERGED = """m0 AS (SELECT *, CASE WHEN start - max("end") OVER (PARTITION BY recording_id, speaker ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= {gap} THEN 0 ELSE 1 END AS n FROM timeline WHERE "end" > start),
+m1 AS (SELECT *, sum(n) OVER (PARTITION BY recording_id, speaker ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM m0),
+merged AS (SELECT recording_id, speaker, min(start) AS start, max("end") AS "end", count(*) AS n_rows FROM m1 GROUP BY recording_id, speaker, island)"""
+
+
+@query("interval_merge", f"WITH {A.TIMELINE_SQL}, {_MERGED.format(gap=0.0)} SELECT * FROM merged")
+def interval_merge(spark, d):
+    return I.merge(A.timeline(spark, d), ["recording_id", "speaker"])
+
+
+@query("timeline_coalesce", f"WITH {A.TIMELINE_SQL}, {_MERGED.format(gap=0.12)} SELECT * FROM merged")
+def timeline_coalesce(spark, d):
+    return I.merge(A.timeline(spark, d), ["recording_id", "speaker"], 0.12)
+
+
+@query(
+    "interval_gaps",
+    f"""WITH {A.TIMELINE_SQL}, {_MERGED.format(gap=0.0)},
+g AS (SELECT recording_id, speaker, "end" AS start, lead(start) OVER (PARTITION BY recording_id, speaker ORDER BY start) AS "end" FROM merged) SELECT * FROM g WHERE "end" IS NOT NULL""",
+)
+def interval_gaps(spark, d):
+    return I.gaps(A.timeline(spark, d), ["recording_id", "speaker"])
+
+
+_EVENTS = """ev AS (SELECT a.recording_id, a.ord AS first_ord, b.ord AS second_ord, a.speaker, b.speaker AS other, greatest(a.start, b.start) AS start, least(a."end", b."end") AS "end"
+FROM timeline a JOIN timeline b ON a.recording_id = b.recording_id AND a.ord < b.ord AND a.speaker <> b.speaker AND b."end" > a.start AND b.start < a."end")"""
+
+
+@query("overlap_events", f"WITH {A.TIMELINE_SQL}, {_EVENTS} SELECT * FROM ev")
+def overlap_events(spark, d):
+    return I.overlap_events(A.timeline(spark, d))
+
+
+@query(
+    "overlapping_pairs",
+    f"""WITH {A.TIMELINE_SQL}, {_EVENTS} SELECT recording_id, least(speaker, other) AS speaker_a, greatest(speaker, other) AS speaker_b, sum(round(("end" - start) * 1000)::BIGINT)::BIGINT AS overlap_ms
+FROM ev GROUP BY 1, 2, 3 HAVING sum(round(("end" - start) * 1000)::BIGINT) >= 250""",
+)
+def overlapping_pairs(spark, d):
+    return I.overlapping_pairs(A.timeline(spark, d))
+
+
+@query(
+    "overlap_matrix",
+    f"""WITH {A.TIMELINE_SQL} SELECT a.recording_id, a.speaker, b.secondary, sum(round((least(a."end", b."end") - greatest(a.start, b.start)) * 1000)::BIGINT)::BIGINT AS overlap_ms
+FROM timeline a JOIN timeline b ON a.recording_id = b.recording_id AND b."end" > a.start AND b.start < a."end" GROUP BY 1, 2, 3""",
+)
+def overlap_matrix(spark, d):
+    t = A.timeline(spark, d)
+    pairs = I.interval_join(t.select("recording_id", "start", "end", "speaker"), t.select("recording_id", "start", "end", "secondary"), "recording_id", 60.0)
+    ms = F.round((F.least("end", "r_end") - F.greatest("start", "r_start")) * 1000).cast("long")
+    return pairs.groupBy("recording_id", "speaker", F.col("r_secondary").alias("secondary")).agg(F.sum(ms).alias("overlap_ms"))
+
+
+@query("vector_normalize", f"WITH {A.WINDOWS_SQL}, u AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x / sqrt(list_dot_product(embedding, embedding)) * 1e7 + 0.5) / 1e7) AS unit FROM windows) SELECT vec_id, round(list_sum(unit), 4) AS total FROM u")
+def vector_normalize(spark, d):
+    total = F.aggregate("unit", F.lit(0.0), lambda a, x: a + x)
+    return A.windows(spark, d).select("vec_id", V.normalize("embedding").alias("unit")).select("vec_id", F.round(total, 4).alias("total"))
+
+
+@query("nearest_profiles")
+def nearest_profiles(spark, d):
+    w = A.windows(spark, d).withColumn("unit", V.normalize("embedding"))
+    return V.candidates(w.where("not verified"), F.broadcast(V.centroids(w.where("verified"), ["voice"])))
+
+
+@query("profile_catalog", f"WITH {A.WINDOWS_SQL} SELECT voice, count(*) FILTER (WHERE verified) AS verified_windows, count(DISTINCT session) FILTER (WHERE verified) AS sessions, sum(CASE WHEN verified THEN round(clean_seconds * 10)::BIGINT ELSE 0 END)::BIGINT AS tenths FROM windows GROUP BY voice")
+def profile_catalog(spark, d):
+    w = A.windows(spark, d)
+    return w.groupBy("voice").agg(
+        F.count_if("verified").alias("verified_windows"),
+        F.count_distinct(F.when(F.col("verified"), F.col("session"))).alias("sessions"),
+        F.sum(F.when(F.col("verified"), F.round(F.col("clean_seconds") * 10).cast("long")).otherwise(0)).alias("tenths"),
+    )
+
+
+@query("timestamp_format", f"""WITH {A.SEGMENTS_SQL}, t AS (SELECT recording_id, seg_ord, round_even(start * 1000, 0)::BIGINT AS ms FROM segments)
+SELECT recording_id, seg_ord, printf('%02d:%02d:%02d,%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) AS t FROM t""")
+def timestamp_format(spark, d):
+    return A.segments(spark, d).select("recording_id", "seg_ord", T.timestamp_text(F.col("start"), ",").alias("t"))
+
+
+_SRT = "printf('%02d:%02d:%02d,%03d', {0} // 3600000, {0} // 60000 % 60, {0} // 1000 % 60, {0} % 1000)"
+
+
+@query(
+    "render_srt",
+    f"""WITH {A.SEGMENTS_SQL}, t AS (SELECT *, round_even(start * 1000, 0)::BIGINT AS a, round_even("end" * 1000, 0)::BIGINT AS b FROM segments),
+c AS (SELECT recording_id, seg_ord, seg_ord::VARCHAR || chr(10) || {_SRT.format("a")} || ' --> ' || {_SRT.format("b")} || chr(10) || '[' || speaker || '] ' || text AS cue FROM t)
+SELECT recording_id, string_agg(cue, chr(10) || chr(10) ORDER BY seg_ord) || chr(10) AS srt FROM c GROUP BY 1""",
+)
+def render_srt(spark, d):
+    s = A.segments(spark, d)
+    cue = F.concat(F.col("seg_ord").cast("string"), F.lit("\n"), T.timestamp_text(F.col("start"), ","), F.lit(" --> "), T.timestamp_text(F.col("end"), ","), F.lit("\n["), "speaker", F.lit("] "), "text")
+    cues = F.transform(F.array_sort(F.collect_list(F.struct("seg_ord", cue.alias("cue")))), lambda x: x["cue"])
+    return s.groupBy("recording_id").agg(F.concat(F.array_join(cues, "\n\n"), F.lit("\n")).alias("srt"))
+
+
+@query("html_escape", "SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS escaped FROM pages")
+def html_escape(spark, d):
+    return A.table(spark, d, "pages").select("page_id", T.html_escape(F.col("html")).alias("escaped"))
+
+
+@query(
+    "sentence_ends",
+    f"""WITH {A.SEGMENTS_SQL} SELECT recording_id, count(*) FILTER (WHERE regexp_matches(text, '[.!?]["'')\\]}} ]*$')) AS ended, count(*) AS n FROM segments GROUP BY 1""",
+)
+def sentence_ends(spark, d):
+    return A.segments(spark, d).groupBy("recording_id").agg(F.count_if(T.ends_sentence(F.col("text"))).alias("ended"), F.count("*").alias("n"))
+
+
+@query("speaker_label", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN printf('SPEAKER_%02d', (user_id % 7)::INT) ELSE 'SORTFORMER_' || upper(regexp_replace(event_type, '[^A-Za-z0-9]+', '_', 'g')) END AS label FROM events")
+def speaker_label(spark, d):
+    raw = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("spk-"), (F.col("user_id") % 7).cast("string"))).otherwise(F.col("event_type"))
+    return A.table(spark, d, "events").select("event_id", T.speaker_label(raw).alias("label"))
+
+
+@query("manifest_pending", "SELECT o_orderkey FROM orders WHERE NOT (o_orderstatus = 'F' AND o_totalprice >= 1000)")
+def manifest_pending(spark, d):
+    o = A.table(spark, d, "orders")
+    done = o.where("o_orderstatus = 'F' and o_totalprice >= 1000").select("o_orderkey")
+    return o.select("o_orderkey").join(done, "o_orderkey", "left_anti")
+
+
+@query("duplicate_check", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
+def duplicate_check(spark, d):
+    return A.table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query(
+    "even_sample",
+    """WITH r AS (SELECT event_id, event_id // 500 AS rec, row_number() OVER (PARTITION BY event_id // 500 ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY event_id // 500) AS n FROM events)
+SELECT DISTINCT rec, event_id FROM r, range(64) k(k) WHERE n <= 64 OR i = floor(k * (n - 1) / 63.0)""",
+)
+def even_sample(spark, d):
+    e = A.table(spark, d, "events").withColumn("rec", F.expr("event_id div 500"))
+    i = F.row_number().over(Window.partitionBy("rec").orderBy("event_id")) - 1
+    rows = e.select("rec", "event_id", i.alias("i"), F.count("*").over(Window.partitionBy("rec")).alias("n"))
+    picks = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.floor(k * (F.col("n") - 1) / 63.0))
+    return rows.where((F.col("n") <= 64) | F.array_contains(picks, F.col("i").cast("long"))).select("rec", "event_id")
