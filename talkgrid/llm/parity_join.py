@@ -169,7 +169,8 @@ def _linked(pairs: DataFrame, members: DataFrame, threshold: tuple[int, int]) ->
     """Those of pairs(u, v) whose sets are alike enough."""
     x = members.select(F.col("c1").alias("u"), F.col("members").alias("x"))
     y = members.select(F.col("c1").alias("v"), F.col("members").alias("y"))
-    return pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(_verify(threshold), "u long, v long")
+    # shuffled at every size: the sets grow with the corpus
+    return pairs.hint("merge").join(x, "u").hint("merge").join(y, "v").select("u", "v", "x", "y").mapInArrow(_verify(threshold), "u long, v long")
 
 
 def _parity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,7 +287,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, threshold: tuple[int, in
     # one text for each class that has a candidate
     wanted = rows.join(buckets.select("c1").distinct(), "c1").groupBy("c1").agg(F.min(F.struct("doc_id", "th")).alias("x")).select("x.doc_id", "x.th").distinct()
     chosen = (F.col("r.th") == F.col("w.th")) & F.col("r.doc_id").eqNullSafe(F.col("w.doc_id"))
-    texts = read.alias("r").join(wanted.alias("w"), chosen, "left_semi")
+    texts = read.alias("r").join(wanted.alias("w").hint("merge"), chosen, "left_semi")
     members = durable(texts.select("text").mapInArrow(_members(width), "c1 long, members binary").dropDuplicates(["c1"]))
     links = durable(_linked(first, members, threshold))
 
