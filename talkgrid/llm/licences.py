@@ -119,8 +119,10 @@ def train(unknown: list[str], seed: int = 5) -> Classifier:
         for t in texts:
             for _ in range(COPIES // 4):
                 tokens = words(t)
-                n = max(2, len(tokens) // 3)
-                at = rng.randrange(len(tokens) - n + 1) if len(tokens) >= n else 0
+                n = len(tokens) // 3
+                if n < 2:
+                    continue
+                at = rng.randrange(len(tokens) - n + 1)
                 add([rng.choice(filler) for _ in range(6)] + tokens[at : at + n] + [rng.choice(filler) for _ in range(6)], len(families) - 1)
     rng.shuffle(rows)
     half = len(rows) // 2
