@@ -1,13 +1,17 @@
 """N-gram Jaccard join by parity sketches.
 
-A document's set of word shingles is XOR-hashed into a bit sketch: each shingle
-flips one bit. The Hamming distance of two sketches is at most the size of the
-sets' symmetric difference, and two sets of sizes a and b with a Jaccard index
-of at least t differ in at most (1 - t) / (1 + t) * (a + b) shingles. A sketch
-of one 64-bit word more than that bound must therefore agree in a whole word
-(pigeonhole), so documents meet on (band, word number, word). Bands of sizes
-grow by 1 / t; a document joins its own band and the next one. Candidates are
-verified on their shingle sets.
+A document's set of word shingles is XOR-hashed into a sketch of 64-bit words:
+each shingle flips the bits of its hash in one word. The number of words in
+which two sketches differ is at most the size of the sets' symmetric
+difference, and two sets of sizes a and b with a Jaccard index of at least t
+differ in at most (1 - t) / (1 + t) * (a + b) shingles. A sketch of more words
+than that bound must therefore agree in a whole word (pigeonhole), so documents
+meet on (band, word number, word). Bands of sizes grow by 1 / t; a document
+joins its own band and the next one. A word without a shingle says nothing, so
+a document leaves out its empty words where it has more others than it can
+differ in: one of these then agrees. Candidates of large buckets
+are compared by bit sketches, in which each shingle flips one bit and whose
+Hamming distance is a lower bound too; all are verified on their shingle sets.
 
 Equal sets are one class before anything is joined. Within a bucket only links
 that can still connect something are verified: first each class against the
@@ -85,21 +89,26 @@ def _sketch_keys(hashes: np.ndarray, starts: np.ndarray, threshold: tuple[int, i
     n = np.diff(starts)
     ends = bands(threshold, int(n.max(initial=1)))
     own = np.searchsorted(ends, n)
+    doc = np.repeat(np.arange(len(n)), n)
+    spot, flips = mix(hashes + _C3) >> _U(32), mix(hashes ^ _C1)
     parts, owners = [], []
     for step in (0, 1):
         band = own + step
-        # the most shingles in which two sets of up to ends[band] shingles can differ
-        words = (den - num) * 2 * ends[band] // (den + num) + 1
-        words = np.where((n > 0) & (words > 1), words, 0)  # with one word only equal sets can be linked
+        # the most shingles in which two sets of up to ends[band] shingles can differ, and this set and another
+        most = (den - num) * 2 * ends[band] // (den + num)
+        own_most = (den - num) * (n + np.minimum(ends[band], n * den // num)) // (den + num)
+        # some words more than needed, as a few may be empty; where no shingle may differ only equal sets can be linked
+        words = np.where((n > 0) & (most > 0), most + 2 + most // 16, 0)
         base = np.concatenate([[0], np.cumsum(words)])
         sketch = np.zeros(base[-1], dtype=np.uint64)
-        doc = np.repeat(np.arange(len(n)), n)
         live = words[doc] > 0
-        h = mix(hashes[live] + _C3)
-        w = ((h >> _U(32)) * words[doc[live]].astype(np.uint64)) >> _U(32)
-        np.bitwise_xor.at(sketch, base[doc[live]] + w.astype(np.int64), _U(1) << (h & _U(63)))
+        w = (spot[live] * words[doc[live]].astype(np.uint64)) >> _U(32)
+        np.bitwise_xor.at(sketch, base[doc[live]] + w.astype(np.int64), flips[live])
         of = np.repeat(np.arange(len(n)), words)
-        number = (np.arange(len(sketch)) - base[of]).astype(np.uint64)
+        filled = np.bincount(of[sketch != 0], minlength=len(n))
+        number = np.arange(len(sketch)) - base[of]
+        keep = (sketch != 0) | (filled <= own_most)[of]
+        sketch, of, number = sketch[keep], of[keep], number[keep].astype(np.uint64)
         parts.append(mix(mix(sketch + _C3) ^ (number * _C1 + band[of].astype(np.uint64) * _C2)))
         owners.append(of)
     owner = np.concatenate(owners)

@@ -60,14 +60,15 @@ def test_packing_round_trip(spark, docs):
     assert pack(empty(spark)).count() == 0
 
 
-def test_parity_join_equals_brute_force(spark, docs):
+@pytest.mark.parametrize("width, tenths", [(3, 9), (5, 8)])
+def test_parity_join_equals_brute_force(spark, docs, width, tenths):
     from talkgrid.llm.parity_join import jaccard_components
 
     rows = local(docs)
     sets = []
     for _, t in rows:
         w = (t or "").encode().lower().split()
-        sets.append({tuple(w[k : k + 3]) for k in range(len(w) - 2)} if len(w) > 2 else {tuple(w)} if w else set())
+        sets.append({tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set())
     parent = list(range(len(rows)))
 
     def find(x):
@@ -78,13 +79,13 @@ def test_parity_join_equals_brute_force(spark, docs):
     for i in range(len(rows)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if sets[i] and sets[j] and 100 * both >= 90 * len(sets[i] | sets[j]):
+            if sets[i] and sets[j] and 10 * both >= tenths * len(sets[i] | sets[j]):
                 parent[find(i)] = find(j)
     want = Counter()
     for i, (doc_id, _) in enumerate(rows):
         ids = [rows[j][0] for j in range(len(rows)) if find(j) == find(i) and rows[j][0] is not None]
         want[doc_id, len(sets[i]), min(ids) if ids else None] += 1
-    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(docs).collect()) == want
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(docs, width, (tenths, 10)).collect()) == want
     assert jaccard_components(empty(spark)).count() == 0
 
 
