@@ -302,7 +302,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, threshold: tuple[int, in
 
     labels = connected_components(links)
     placed = weighted.join(labels.withColumnRenamed("node", "c1"), "c1", "left").select("key", "c1", F.coalesce("label", "c1").alias("label"))
-    open_keys = placed.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("size")).where("a <> b")
+    open_keys = placed.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("size")).where("a <> b and size > 2")  # the only pair of a bucket of two is in first
     still = durable(placed.join(open_keys.select("key", "size"), "key"))
     sketches = durable(members.join(still.select("c1").distinct(), "c1", "left_semi").mapInArrow(_parity, "c1 long, n int, sketch binary"))
     second = durable(_close_pairs(still, sketches, threshold).join(first, ["u", "v"], "left_anti"))
