@@ -28,40 +28,44 @@ LEAST_WORDS = 5
 BUCKETS = 1 << 16
 _HASH_BITS = 51
 _MASK = (1 << _HASH_BITS) - 1
-# What separates words.
-_SPACES = " \t\n\x0b\x0c\r"
+# What separates words in a line, besides a space.
+_SPACES = "\t\x0b\x0c\r"
 
 
-def _words(text: Column) -> Column:
-    """The lower-cased words in order, through one-character splits only."""
-    return F.array_remove(F.split(F.translate(F.lower(text), _SPACES, " " * len(_SPACES)), " "), "")
+def _spaced(text: Column) -> Column:
+    """Lower-cased text with one kind of space in its lines; replacing scans bytes and mostly finds nothing."""
+    text = F.lower(text)
+    for c in _SPACES:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
 
 
-def _bucket(h: Column) -> Column:
-    return h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+def _words(spaced: Column) -> Column:
+    """The words in order, through a one-character split only."""
+    return F.array_remove(F.split(spaced, " "), "")
 
 
-def _ranks(docs: DataFrame) -> Column:
-    """A literal array: the rank, 0 to 4095, of each bucket by how many words of the corpus it holds."""
+def _bucket(w: Column) -> Column:
+    return F.hash(w).bitwiseAND(F.lit(BUCKETS - 1))
+
+
+def _ranks(spaced: DataFrame) -> Column:
+    """A literal array of each bucket's rank, 0 to 4095 by how many words of the corpus it holds, in the bits above the hash."""
     # outer generators, as the optimizer evaluates the argument of the others twice
-    words = docs.select(F.explode_outer(_words(F.col("text"))).alias("w"))
-    counts = words.select(_bucket(F.xxhash64("w")).alias("b")).groupBy("b").agg(F.count("*").alias("n"))
+    words = spaced.select(F.explode_outer(F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
+    counts = words.select(_bucket(F.col("w")).alias("b")).groupBy("b").agg(F.count("*").alias("n"))
     rank = F.least(F.lit(4095), F.floor(F.log2(F.col("n") + 1) * 96)).cast("long")
     ranked = counts.select("b", rank.alias("r"))
     # at most BUCKETS rows, kept as one literal
     table = [0] * BUCKETS
     for row in ranked.collect():
-        table[row.b] = row.r
+        table[row.b] = row.r << _HASH_BITS
     return F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
 
 
 def _tokens(line: Column, ranks: Column) -> Column:
     """Sorted values of a line's words: the rank in the high bits, the hash below."""
-
-    def value(w: Column) -> Column:
-        h = F.xxhash64(w)
-        return F.shiftleft(F.element_at(ranks, _bucket(h) + 1), _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit(_MASK)))
-
+    value = lambda w: F.get(ranks, _bucket(w)).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit(_MASK)))
     return F.sort_array(F.array_distinct(F.transform(_words(line), value)))
 
 
@@ -84,8 +88,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     texts with equal doc_id a hash decides; other columns are ignored.
     """
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
-    ranks = _ranks(rows)
-    lines = rows.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
+    spaced = rows.select("doc_id", F.xxhash64("text").alias("th"), _spaced(F.col("text")).alias("text"))
+    ranks = _ranks(spaced)
+    lines = spaced.select("doc_id", "th", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
     # generated, so that the filter is not pushed below it and the sets are made once
     sets = lines.select("doc_id", "th", "line_no", F.explode_outer(F.array(_tokens(F.col("line"), ranks))).alias("tokens")).where(F.size("tokens") >= LEAST_WORDS)
     n = F.size("tokens")
@@ -119,9 +124,11 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     # the sets of the lines that meet there, from their texts again
     both = close.select("sh", "n").union(partners.select("sh", "n")).distinct()
     wanted = classes.join(both, ["sh", "n"], "left_semi").groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("numbers"))
-    x, w = rows.select("doc_id", "text", F.xxhash64("text").alias("th")).alias("x"), wanted.alias("w")
-    texts = x.join(w, F.col("x.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("x.th") == F.col("w.th"))).select("text", "numbers").distinct()
-    again = texts.select(F.explode(F.transform("numbers", lambda i: F.get(F.split("text", "\n"), i))).alias("line"))
+    x, w = spaced.alias("x"), wanted.alias("w")
+    texts = x.join(w, F.col("x.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("x.th") == F.col("w.th"))).select("text", "numbers")
+    # generated, so that each text is split once
+    split = texts.select("numbers", F.explode_outer(F.array(F.split("text", "\n"))).alias("lines"))
+    again = split.select(F.explode_outer(F.transform("numbers", lambda i: F.get("lines", i))).alias("line"))
     tokens = again.select(_tokens(F.col("line"), ranks).alias("tokens")).select(F.xxhash64("tokens").alias("sh"), F.size("tokens").alias("n"), "tokens")
     tokens = durable(tokens.dropDuplicates(["sh", "n"]))
     left = close.join(tokens, ["sh", "n"]).alias("s")
