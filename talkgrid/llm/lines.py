@@ -109,15 +109,15 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
     s, r = buckets.alias("s"), buckets.alias("r")
     sizes = F.col("s.n") + F.col("r.n")
-    need = F.ceil(sizes * NUM / (NUM + DEN))
-    most = F.floor(sizes * (DEN - NUM) / (NUM + DEN))
     far = F.bit_count(F.col("s.x").bitwiseXOR(F.col("r.x")))
+    left_over = F.least(F.col("s.n") - F.col("s.i"), F.col("r.n") - F.col("r.i"))
+    # in whole numbers, and the dearest test last: most rows of a token meet only themselves
     fits = (
-        _earlier("r", "s")
+        ((F.col("s.sh") != F.col("r.sh")) | (F.col("s.n") != F.col("r.n")))
         & (DEN * F.least("s.n", "r.n") >= NUM * F.greatest("s.n", "r.n"))
-        & (F.least(F.col("s.n") - F.col("s.i"), F.col("r.n") - F.col("r.i")) >= need)
+        & ((NUM + DEN) * left_over >= NUM * sizes)
     )
-    meet = (F.col("s.token") == F.col("r.token")) & fits & (far <= most)
+    meet = (F.col("s.token") == F.col("r.token")) & fits & ((NUM + DEN) * far <= (DEN - NUM) * sizes) & _earlier("r", "s")
     close = durable(s.join(r, meet, "left_semi").select("token", "sh", "n", "doc_id", "line_no", "x", "i"))
     partners = durable(buckets.alias("r").join(close.alias("s"), meet, "left_semi").select("token", "sh", "n", "doc_id", "line_no", "i"))
 
@@ -134,7 +134,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     left = close.join(tokens, ["sh", "n"]).alias("s")
     right = partners.join(tokens, ["sh", "n"]).alias("r")
     shared = F.size(F.array_intersect("s.tokens", "r.tokens"))
-    similar = left.join(right, (F.col("s.token") == F.col("r.token")) & fits & (DEN * shared >= NUM * (sizes - shared)), "left_semi").select("sh", "n").distinct()
+    similar = left.join(right, (F.col("s.token") == F.col("r.token")) & fits & _earlier("r", "s") & (DEN * shared >= NUM * (sizes - shared)), "left_semi").select("sh", "n").distinct()
 
     marked = durable(classes.join(similar.withColumn("near", F.lit(True)), ["sh", "n"], "left").select("sh", "n", F.col("doc_id").alias("d"), F.col("line_no").alias("l"), F.coalesce("near", F.lit(False)).alias("near")))
     again = ~(F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line_no") == F.col("l")))
