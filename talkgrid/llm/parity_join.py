@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from talkgrid.llm._arrow import in_small_batches
 from talkgrid.llm._graph import connected_components
@@ -41,7 +42,7 @@ _C1, _C2, _C3 = _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F), _U(0xE7037ED1A0B
 BLOCK = 512
 
 #: Columns of _sets().
-SETS = "doc_id long, n_shingles long, c1 long, c2 long, th long, keys array<long>"
+SETS = "doc_id long, n_shingles long, c1 long, c2 long, th long"
 
 
 def _shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,22 +126,33 @@ def _class_ids(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
     return out[0], out[1]
 
 
-def _sets(width: int, threshold: tuple[int, int]):
+def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in slices(batch.column(1)):
                 hashes, starts = _shingles(data, offsets, width)
                 c1, c2 = _class_ids(hashes, starts)
-                keys, at = _sketch_keys(hashes, starts, threshold)
-                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[a:b], pa.array(np.diff(starts)), pa.array(c1), pa.array(c2), batch.column(2)[a:b], lists],
-                    names=["doc_id", "n_shingles", "c1", "c2", "th", "keys"],
+                    [batch.column(0)[a:b], pa.array(np.diff(starts)), pa.array(c1), pa.array(c2), batch.column(2)[a:b]],
+                    names=["doc_id", "n_shingles", "c1", "c2", "th"],
                 )
 
     return run
 
 
+def _keys(width: int, threshold: tuple[int, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in slices(batch.column(0)):
+                hashes, starts = _shingles(data, offsets, width)
+                c1, _ = _class_ids(hashes, starts)
+                keys, at = _sketch_keys(hashes, starts, threshold)
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(c1), lists], names=["c1", "keys"])
+
+    return run
+
+
 def _members(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,15 +293,14 @@ def jaccard_components(docs: DataFrame, width: int = 3, threshold: tuple[int, in
     read = in_small_batches(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("th"))
     )
-    sets = durable(read.mapInArrow(_sets(width, threshold), SETS))
-    rows = sets.select("doc_id", "n_shingles", "c1", "c2", "th")
-    spread = sets.where("size(keys) > 0").select("c1", F.explode("keys").alias("key"))
-    shared = spread.groupBy("key").agg(F.min("c1").alias("least"), F.max("c1").alias("most")).where("least <> most").select("key")
-    buckets = durable(spread.join(shared, "key").distinct())
-
-    sizes = buckets.groupBy("key").agg(F.count("*").alias("size"))
-    central = buckets.join(sizes, "key").groupBy("c1").agg(F.sum("size").alias("weight"))
-    weighted = durable(buckets.join(central, "c1"))
+    rows = durable(read.mapInArrow(_sets(width), SETS))
+    # one set of keys for each class, so that no key is hot by copies; the keys are dealt out once and compared in place
+    classes = read.select("text").mapInArrow(_keys(width, threshold), "c1 long, keys array<long>").where("size(keys) > 0").dropDuplicates(["c1"])
+    spread = classes.select("c1", F.explode("keys").alias("key"))
+    buckets = durable(spread.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1"))
+
+    central = buckets.groupBy("c1").agg(F.sum("size").alias("weight"))
+    weighted = durable(buckets.select("key", "c1").join(central, "c1"))
     pivots = weighted.groupBy("key").agg(F.max(F.struct("weight", "c1")).alias("top")).select("key", F.col("top.c1").alias("u"))
     first = durable(weighted.join(pivots, "key").where("u <> c1").select(F.least("u", "c1").alias("u"), F.greatest("u", "c1").alias("v")).distinct())
 
