@@ -136,7 +136,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     shared = F.size(F.array_intersect("s.tokens", "r.tokens"))
     similar = left.join(right, (F.col("s.token") == F.col("r.token")) & fits & _earlier("r", "s") & (DEN * shared >= NUM * (sizes - shared)), "left_semi").select("sh", "n").distinct()
 
-    marked = durable(classes.join(similar.withColumn("near", F.lit(True)), ["sh", "n"], "left").select("sh", "n", F.col("doc_id").alias("d"), F.col("line_no").alias("l"), F.coalesce("near", F.lit(False)).alias("near")))
+    marked = classes.join(similar.withColumn("near", F.lit(True)), ["sh", "n"], "left").select("sh", "n", F.col("doc_id").alias("d"), F.col("line_no").alias("l"), F.coalesce("near", F.lit(False)).alias("near"))
     again = ~(F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line_no") == F.col("l")))
     return (
         described.select("doc_id", "th", "line_no", "sh", "n")
