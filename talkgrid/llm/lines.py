@@ -65,7 +65,9 @@ def _ranks(spaced: DataFrame) -> Column:
 
 def _tokens(line: Column, ranks: Column) -> Column:
     """Sorted values of a line's words: the rank in the high bits, the hash below."""
-    value = lambda w: F.get(ranks, _bucket(w)).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit(_MASK)))
+    # never null, so that the values are sorted without boxing
+    rank = lambda w: F.coalesce(F.get(ranks, _bucket(w)), F.lit(0).cast("long"))
+    value = lambda w: rank(w).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit(_MASK)))
     return F.sort_array(F.array_distinct(F.transform(_words(line), value)))
 
 
