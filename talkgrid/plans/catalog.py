@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from talkgrid.functions import text as T
+from talkgrid.operators import attribution as W
 from talkgrid.operators import intervals as I
 from talkgrid.operators import sessions as S
 from talkgrid.operators import vectors as V
@@ -216,3 +217,99 @@ def even_sample(spark, d):
     rows = e.select("rec", "event_id", i.alias("i"), F.count("*").over(Window.partitionBy("rec")).alias("n"))
     picks = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.floor(k * (F.col("n") - 1) / 63.0))
     return rows.where((F.col("n") <= 64) | F.array_contains(picks, F.col("i").cast("long"))).select("rec", "event_id")
+
+
+_TM = """tm AS (SELECT recording_id, ord, speaker, secondary, round(start * 1000)::BIGINT AS s, round("end" * 1000)::BIGINT AS e FROM timeline)"""
+_NEAR = """m AS (SELECT *, CASE WHEN s - max(e) OVER (PARTITION BY recording_id, speaker ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= {gap} THEN 0 ELSE 1 END AS n FROM p),
+i AS (SELECT *, sum(n) OVER (PARTITION BY recording_id, speaker ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM m)
+SELECT recording_id, speaker, min(s) AS start, max(e) AS "end", count(*) AS n_rows FROM i GROUP BY recording_id, speaker, island"""
+
+
+@query(
+    "exclusive_intervals",
+    f"""WITH {A.TIMELINE_SQL}, {_TM},
+edges AS (SELECT a.recording_id, a.ord, a.speaker, a.s, greatest(b.s, a.s) AS bs, least(b.e, a.e) AS be FROM tm a JOIN tm b ON a.recording_id = b.recording_id AND a.speaker <> b.speaker AND b.e > a.s AND b.s < a.e AND b.e > b.s
+  UNION ALL SELECT recording_id, ord, speaker, s, e, e FROM tm),
+g AS (SELECT *, coalesce(max(be) OVER (PARTITION BY recording_id, ord ORDER BY bs, be ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), s) AS gs FROM edges),
+p AS (SELECT recording_id, speaker, gs + 80 AS s, bs - 80 AS e FROM g WHERE bs - gs >= 660),
+{_NEAR.format(gap=80)}""",
+)
+def exclusive_intervals(spark, d):
+    return W.exclusive(A.timeline(spark, d))
+
+
+@query(
+    "recognized_speech",
+    f"""WITH {A.SEGMENTS_SQL},
+p AS (SELECT recording_id, speaker, greatest(0, round(start * 1000)::BIGINT - 60) AS s, round("end" * 1000)::BIGINT + 60 AS e FROM segments
+  WHERE regexp_matches(text, '[\\p{{L}}\\p{{N}}]') AND NOT regexp_matches(text, '^(\\[.*\\]|\\(.*\\)|<.*>)$')),
+{_NEAR.format(gap=350)}""",
+)
+def recognized_speech(spark, d):
+    return W.recognized_speech(A.segments(spark, d))
+
+
+@query(
+    "label_votes",
+    f"""WITH {A.TIMELINE_SQL}, {_TM},
+v AS (SELECT a.recording_id, a.ord, a.e - a.s AS length, b.secondary AS label, sum(least(a.e, b.e) - greatest(a.s, b.s))::BIGINT AS ms FROM tm a JOIN tm b ON a.recording_id = b.recording_id AND b.e > a.s AND b.s < a.e GROUP BY ALL),
+r AS (SELECT *, row_number() OVER w AS place, coalesce(lead(ms) OVER w, 0) AS second FROM v WINDOW w AS (PARTITION BY recording_id, ord ORDER BY ms DESC, label DESC)),
+b AS (SELECT *, ms > 0 AND 100 * ms >= 60 * length AND 100 * (ms - second) >= 15 * length AS wins FROM r WHERE place = 1)
+SELECT tm.recording_id, tm.ord, CASE WHEN wins THEN label END AS label, coalesce(NOT wins, false) AS ambiguous FROM tm LEFT JOIN b USING (recording_id, ord)""",
+)
+def label_votes(spark, d):
+    t = A.timeline(spark, d)
+    return W.label_votes(t, t.withColumnRenamed("secondary", "label"))
+
+
+@query(
+    "choices_at_midpoint",
+    f"""WITH {A.TIMELINE_SQL}, {_TM},
+j AS (SELECT a.recording_id, a.ord, b.secondary, b.ord AS turn, a.s + a.e < 2 * b.e AS inside FROM tm a JOIN tm b ON a.recording_id = b.recording_id AND a.speaker = b.speaker AND a.s + a.e BETWEEN 2 * b.s AND 2 * b.e),
+c AS (SELECT recording_id, ord, coalesce(arg_min(secondary, turn) FILTER (WHERE inside), arg_max(secondary, turn) FILTER (WHERE NOT inside)) AS choice FROM j GROUP BY 1, 2)
+SELECT tm.recording_id, tm.ord, choice FROM tm LEFT JOIN c USING (recording_id, ord)""",
+)
+def choices_at_midpoint(spark, d):
+    t = A.timeline(spark, d)
+    return W.choices_at(t, t.withColumnRenamed("secondary", "choice"))
+
+
+@query(
+    "sentence_continues",
+    f"""WITH {A.SEGMENTS_SQL},
+p AS (SELECT recording_id, seg_ord, text, lag(text) OVER (PARTITION BY recording_id ORDER BY seg_ord) AS prior FROM segments),
+c AS (SELECT recording_id, seg_ord, regexp_replace(regexp_extract(prior, '\\S+$'), '["'')\\]}} ]+$', '') AS core, regexp_extract(regexp_extract(text, '^\\S+'), '\\p{{L}}') AS letter FROM p)
+SELECT recording_id, seg_ord, coalesce(core <> '' AND NOT regexp_matches(core, '[.!?]$') AND regexp_matches(letter, '^\\p{{Ll}}$'), false) AS goes_on FROM c""",
+)
+def sentence_continues(spark, d):
+    before = F.lag("text").over(Window.partitionBy("recording_id").orderBy("seg_ord"))
+    rows = A.segments(spark, d).withColumn("prior", before)
+    return rows.select("recording_id", "seg_ord", W.sentence_continues(F.col("prior"), F.col("text")).alias("goes_on"))
+
+
+@query(
+    "set_differences",
+    """SELECT * FROM (SELECT coalesce(c_custkey, s_suppkey) AS key, CASE WHEN s_suppkey IS NULL THEN 'missing' WHEN c_custkey IS NULL THEN 'unexpected' WHEN c_nationkey IS DISTINCT FROM s_nationkey THEN 'changed' END AS status
+FROM customer FULL JOIN supplier ON c_custkey = s_suppkey) WHERE status IS NOT NULL""",
+)
+def set_differences(spark, d):
+    side = lambda name, p, k: A.table(spark, d, name).select(F.col(f"{p}_{k}").alias("key"), F.col(f"{p}_nationkey").alias("value"))
+    return W.differences(side("customer", "c", "custkey"), side("supplier", "s", "suppkey"), "key", "value")
+
+
+_ESCAPED = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
+_VTT = _SRT.replace(",%03d", ".%03d")
+
+
+@query(
+    "render_vtt",
+    f"""WITH {A.SEGMENTS_SQL}, t AS (SELECT *, round_even(start * 1000, 0)::BIGINT AS a, round_even("end" * 1000, 0)::BIGINT AS b FROM segments),
+c AS (SELECT recording_id, seg_ord, {_VTT.format("a")} || ' --> ' || {_VTT.format("b")} || chr(10) || '<v ' || {_ESCAPED.format("speaker")} || '>' || {_ESCAPED.format("text")} || '</v>' AS cue FROM t)
+SELECT recording_id, 'WEBVTT' || chr(10) || chr(10) || string_agg(cue, chr(10) || chr(10) ORDER BY seg_ord) || chr(10) AS vtt FROM c GROUP BY 1""",
+)
+def render_vtt(spark, d):
+    s = A.segments(spark, d)
+    speaker, text = T.html_escape(F.col("speaker")), T.html_escape(F.col("text"))
+    cue = F.concat(T.timestamp_text(F.col("start")), F.lit(" --> "), T.timestamp_text(F.col("end")), F.lit("\n<v "), speaker, F.lit(">"), text, F.lit("</v>"))
+    cues = F.transform(F.array_sort(F.collect_list(F.struct("seg_ord", cue.alias("cue")))), lambda x: x["cue"])
+    return s.groupBy("recording_id").agg(F.concat(F.lit("WEBVTT\n\n"), F.array_join(cues, "\n\n"), F.lit("\n")).alias("vtt"))

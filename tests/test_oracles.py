@@ -6,7 +6,7 @@ import pytest
 from talkgrid.plans import catalog
 
 DIR = "/root/testdata/sf0.001"
-TABLES = "orders events documents embeddings pages conversations".split()
+TABLES = "customer supplier orders events documents embeddings pages conversations".split()
 
 
 def rows(frame):
