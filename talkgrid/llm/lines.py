@@ -50,16 +50,16 @@ def _bucket(w: Column) -> Column:
 
 
 def _ranks(spaced: DataFrame) -> Column:
-    """A literal array of each bucket's rank, 0 to 4095 by how many words of the corpus it holds, in the bits above the hash."""
+    """A literal array of each bucket's rank, 0 to 4095 by how many words of the corpus it holds."""
     # outer generators, as the optimizer evaluates the argument of the others twice
     words = spaced.select(F.explode_outer(F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
     counts = words.select(_bucket(F.col("w")).alias("b")).groupBy("b").agg(F.count("*").alias("n"))
     rank = F.least(F.lit(4095), F.floor(F.log2(F.col("n") + 1) * 96)).cast("long")
     ranked = counts.select("b", rank.alias("r"))
-    # at most BUCKETS rows, kept as one literal
+    # at most BUCKETS rows, kept as one literal; its text stands in every plan that the driver holds, so the numbers are short
     table = [0] * BUCKETS
     for row in ranked.collect():
-        table[row.b] = row.r << _HASH_BITS
+        table[row.b] = row.r
     return F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
 
 
@@ -67,7 +67,7 @@ def _tokens(line: Column, ranks: Column) -> Column:
     """Sorted values of a line's words: the rank in the high bits, the hash below."""
     # never null, so that the values are sorted without boxing
     rank = lambda w: F.coalesce(F.get(ranks, _bucket(w)), F.lit(0).cast("long"))
-    value = lambda w: rank(w).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit(_MASK)))
+    value = lambda w: F.shiftleft(rank(w), _HASH_BITS).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit(_MASK)))
     return F.sort_array(F.array_distinct(F.transform(_words(line), value)))
 
 
