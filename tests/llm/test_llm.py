@@ -205,6 +205,23 @@ def test_decontamination(spark):
     assert {r.doc_id for r in drop_leaks(docs, bench).collect()} == set(range(len(texts))) - {i for i, _ in found}
 
 
+def test_decontamination_of_spread_edits(spark):
+    from talkgrid.llm.decontaminate import find_leaks
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    items = [[word() for _ in range(n)] for n in (34, 35, 39, 40, 44, 45) for _ in range(4)]
+    texts = []
+    for item in items:
+        # every fifth word, and none at an end, so that each replaced word breaks two pairs
+        w = [word() if k % 5 == 2 and k < len(item) // 5 * 5 else x for k, x in enumerate(item)]
+        texts.append(" ".join([word() for _ in range(40)] + w + [word() for _ in range(40)]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id, r.distance) for r in find_leaks(docs, bench).collect()}
+    assert found == {(k, k, len(w) // 5) for k, w in enumerate(items)}
+
+
 def test_language_held_out(spark):
     from talkgrid.llm.queries import QUERIES
 
