@@ -22,8 +22,6 @@ from talkgrid.session import durable
 
 #: Similar lines have a Jaccard index of at least NUM / DEN.
 NUM, DEN = 9, 10
-#: Lines of fewer different words are never removed.
-LEAST_WORDS = 5
 #: Word frequencies are counted in so many hash buckets, a bounded table.
 BUCKETS = 1 << 16
 _HASH_BITS = 51
@@ -84,25 +82,26 @@ def _earlier(a: str, b: str) -> Column:
 def removed_lines(docs: DataFrame) -> DataFrame:
     """doc_id, th (hash of the text) and removed, the sorted numbers (from 0) of the lines to remove; documents without any have no row.
 
-    Null texts have no lines; empty lines and lines of fewer than LEAST_WORDS
-    different words stay; a null doc_id comes before all others; rows with equal
-    doc_id and text count as one document; of lines at one position of different
-    texts with equal doc_id a hash decides; other columns are ignored.
+    Null texts have no lines; lines without a word stay; a null doc_id comes before
+    all others; rows with equal doc_id and text count as one document; of lines
+    at one position of different texts with equal doc_id a hash decides; other
+    columns are ignored.
     """
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
     spaced = rows.select("doc_id", F.xxhash64("text").alias("th"), _spaced(F.col("text")).alias("text"))
     ranks = _ranks(spaced)
     lines = spaced.select("doc_id", "th", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
     # generated, so that the filter is not pushed below it and the sets are made once
-    sets = lines.select("doc_id", "th", "line_no", F.explode_outer(F.array(_tokens(F.col("line"), ranks))).alias("tokens")).where(F.size("tokens") >= LEAST_WORDS)
+    sets = lines.select("doc_id", "th", "line_no", F.explode_outer(F.array(_tokens(F.col("line"), ranks))).alias("tokens")).where(F.size("tokens") > 0)
     n = F.size("tokens")
     prefix = n - F.ceil(n * NUM / DEN).cast("int") + 1
+    # two different sets of fewer than 9 and 10 words are never similar enough: they meet as equal sets only
+    joins = n * 2 + 1 >= (DEN + NUM) // (DEN - NUM)
     described = durable(
         sets.select(
             "doc_id", "th", "line_no", F.xxhash64("tokens").alias("sh"), n.alias("n"),
-            # two different sets of fewer than 9 and 10 words are never similar enough
-            F.when(n * 2 + 1 >= (DEN + NUM) // (DEN - NUM), F.slice("tokens", F.lit(1), prefix)).alias("prefix"),
-            _parity(F.col("tokens")).alias("x"),
+            F.when(joins, F.slice("tokens", F.lit(1), prefix)).alias("prefix"),
+            F.when(joins, _parity(F.col("tokens"))).alias("x"),
         )
     )
     first = F.min(F.struct("doc_id", "line_no", "th", "prefix", "x")).alias("f")

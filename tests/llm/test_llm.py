@@ -105,6 +105,16 @@ def test_line_dedup_equals_brute_force(spark, docs):
     assert removed_lines(empty(spark)).count() == 0
 
 
+def test_line_dedup_of_few_words(spark):
+    from talkgrid.llm.lines import dedup_lines, removed_lines
+
+    menu = "Home About Contact Login"
+    texts = [f"{menu}\nAll rights reserved.", "all RIGHTS  reserved.\n\nfirst own line", f"\n{menu}\n \nx\nall rights", "one two " * 90, "two one", "x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.removed for r in removed_lines(docs).collect()} == {1: [0], 2: [1], 4: [0], 5: [0]}
+    assert {r.doc_id: r.text for r in dedup_lines(docs).collect()} == {0: texts[0], 1: "\nfirst own line", 2: "\n \nx\nall rights", 3: texts[3]}
+
+
 def test_suffix_dedup_equals_brute_force(spark, docs, monkeypatch):
     from talkgrid.llm import suffix_dedup
 
