@@ -88,9 +88,11 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     weak = F.concat("identifier", "bare", "endpoint")
 
     some = scanned.where(F.size(weak) > 0).select("doc_id", "th", base.alias("base"), weak.alias("weak")).dropDuplicates(["doc_id", "th"])
-    asking = some.select("doc_id", "th", F.explode("weak").alias("w")).withColumn("bucket", F.floor(F.col("w.s") / SCOPE))
+    asking = some.select("doc_id", "th", F.explode("weak").alias("w"))
+    # in all buckets that it covers, as the distance to what follows counts from its end
+    asking = asking.select("doc_id", "th", "w", F.explode(F.sequence(F.floor(F.col("w.s") / SCOPE), F.floor(F.col("w.e") / SCOPE))).alias("bucket"))
     near = some.select("doc_id", "th", F.explode(F.concat("base", "weak")).alias("p"))
-    reach = F.sequence(F.floor((F.col("p.s") - 2 * SCOPE) / SCOPE), F.floor((F.col("p.e") + SCOPE) / SCOPE))
+    reach = F.sequence(F.floor((F.col("p.s") - SCOPE) / SCOPE), F.floor((F.col("p.e") + SCOPE) / SCOPE))
     near = near.select("doc_id", "th", "p", F.explode(reach).alias("bucket"))
     a, b = asking.alias("a"), near.alias("b")
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th")) & (F.col("a.bucket") == F.col("b.bucket"))

@@ -161,6 +161,25 @@ def test_secrets(spark):
     assert re.findall("[a-z]+", rows[4].spans) == ["identifier", "bare", "endpoint"]
 
 
+def test_secrets_of_long_parts(spark):
+    from talkgrid.llm.secrets import find_secrets
+
+    key = "aB3dEfGh1JkLmNoPqRsT" * 80
+    url = "https://example.org/" + "a/b~" * 300
+    cases = []
+    for pad in range(0, 600, 75):
+        before = "~ " * (pad // 2)
+        for gap, near in ((1, True), (250, True), (256, True), (257, False)):
+            space = " " * gap
+            cases.append((f"{before}{key}{space}user=bob", ["bare", "identifier"] if near else []))
+            cases.append((f"{before}user=bob{space}{key}", ["identifier", "bare"] if near else []))
+        cases.append((f"{before}{url} user=bob aB3dEfGh1JkLmNoPqRsT", ["endpoint", "identifier", "bare"]))
+        cases.append((f"{before}{url}{' ' * 300}user=bob aB3dEfGh1JkLmNoPqRsT", ["identifier", "bare"]))
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: re.findall("[a-z]+", r.spans) for r in find_secrets(docs).collect()}
+    assert got == {i: kinds for i, (_, kinds) in enumerate(cases)}
+
+
 def test_quality_counts(spark, docs):
     from talkgrid.llm.quality import filter_quality
 
