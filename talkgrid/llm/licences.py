@@ -5,7 +5,12 @@ driver, on edited copies of the notices below and on a bounded sample of corpus
 paragraphs as the unknown class. Its threshold is calibrated on held-out copies
 and paragraphs: the lowest probability that no held-out unknown paragraph
 reaches. A prediction holds only if a notice of the family shares CONFIRM of its
-2-grams with the paragraph. A paragraph is a line of the text.
+2-grams with the paragraph. A paragraph is a line of the text, or a window of
+lines without an empty one between them, as notices are often wrapped. Windows
+begin and end where a 2- or 3-gram of a notice does and have at most as many
+lines as the longest notice has words. Of windows of one family that overlap the
+one that shares most stays, then the shortest, and a window inside one that
+shares more goes.
 
 Paragraphs that share no 2-gram with any notice are unknown by construction and
 are not scored.
@@ -17,7 +22,7 @@ import json
 import random
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talkgrid.session import durable
@@ -72,6 +77,7 @@ NOTICES = {
 #: Words that make no evidence by themselves.
 STOP = frozenset("a an and any are as at be by can for in is it of on or that the this to under use with you".split())
 _WORD_BREAK = r"[^\p{L}\p{N}]+"
+_WORD = r"[\p{L}\p{N}]"
 
 
 def words(text: str) -> list[str]:
@@ -83,6 +89,30 @@ def grams(tokens: list[str], n: int) -> list[str]:
     return [" ".join(tokens[i : i + n]) for i in range(len(tokens) - n + 1) if not STOP.issuperset(tokens[i : i + n])]
 
 
+#: Lines of a window, at most: a notice can be wrapped after each word.
+MOST_LINES = max(len(words(t)) for texts in NOTICES.values() for t in texts)
+
+
+def ordinary(text: str) -> list[str]:
+    """The lines with a word, without those that are parts of a wrapped notice."""
+    notices = [set(grams(words(t), 2)) for texts in NOTICES.values() for t in texts]
+    out: list[str] = []
+    run: list[str] = []
+    for line in [*text.split("\n"), ""]:
+        if words(line):
+            run.append(line)
+            continue
+        for i, here in enumerate(run):
+            own = set(grams(words(here), 2))
+            near = [p for p in notices if own & p]
+            around = set(grams(words("\n".join(run[max(0, i - MOST_LINES) : i + MOST_LINES])), 2)) if near else set()
+            # a line that has enough by itself is left to train()
+            if not any(len(around & p) >= CONFIRM * len(p) > len(own & p) for p in near):
+                out.append(here)
+        run = []
+    return out
+
+
 class Classifier:
     """Families, the weights of each gram, biases and the threshold."""
 
@@ -152,15 +182,55 @@ def train(unknown: list[str], seed: int = 5) -> Classifier:
     return Classifier(families, {g: w[i].round(6).tolist() for g, i in vocabulary.items()}, b.round(6).tolist(), threshold)
 
 
-def _grams(tokens: Column, n: int) -> Column:
-    return F.transform(
-        F.when(F.size(tokens) >= n, F.slice(tokens, F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.expr("cast(array() as array<string>)")),
-        lambda w, i: F.concat_ws(" ", w, *[F.get(tokens, i + k) for k in range(1, n)]),
-    )
+def _grams(n: int) -> Column:
+    """The n-grams that begin in a line, and the lines where they end; the words after the line are of its run."""
+    every = F.concat("own", F.transform("after", lambda x: x["w"]))
+    end = lambda i: F.when(i + n <= F.size("own"), F.col("line_no")).otherwise(F.get("after", i + n - 1 - F.size("own"))["line_no"])
+    found = F.transform("own", lambda w, i: F.struct(F.concat_ws(" ", w, *[F.get(every, i + k) for k in range(1, n)]).alias("g"), end(i).alias("e")))
+    return F.filter(found, lambda x: x["e"].isNotNull())
+
+
+def _words(line: Column) -> Column:
+    return F.filter(F.split(F.lower(line), _WORD_BREAK), lambda w: w != "")
+
+
+def _lines(docs: DataFrame, lead: str) -> DataFrame:
+    """doc_id, th, run, line_no, own (words) and after (the next two words of the run) of the lines that can hold a gram."""
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.lower("text").rlike(lead))
+    # generated, so that each step is evaluated once
+    parts = texts.select("doc_id", F.xxhash64("text").alias("th"), F.explode_outer(F.array(F.split("text", "\n"))).alias("parts"))
+    first = F.struct(F.lit(0).alias("run"), F.expr("cast(array() as array<int>)").alias("out"))
+
+    def mark(acc: Column, line: Column) -> Column:
+        run = acc["run"] + F.when(line.rlike(_WORD), 0).otherwise(1)
+        return F.struct(run.alias("run"), F.concat(acc["out"], F.array(run)).alias("out"))
+
+    runs = parts.select("doc_id", "th", "parts", F.explode_outer(F.array(F.aggregate("parts", first, mark, lambda acc: acc["out"]))).alias("runs"))
+    line = lambda x, i: F.struct(F.get("runs", i).alias("run"), x.alias("line"), F.get("parts", i + 1).alias("n1"), F.get("parts", i + 2).alias("n2"))
+    lines = runs.select("doc_id", "th", F.posexplode_outer(F.transform("parts", line)).alias("line_no", "x")).select("doc_id", "th", "line_no", "x.*")
+    lines = lines.where(F.col("line").rlike(_WORD) & F.lower(F.concat_ws(" ", "line", "n1")).rlike(lead))
+    named = lambda c, k: F.transform(_words(F.coalesce(F.col(c), F.lit(""))), lambda w: F.struct(w.alias("w"), (F.col("line_no") + k).alias("line_no")))
+    after = F.when(F.col("n1").rlike(_WORD), F.slice(F.concat(named("n1", 1), named("n2", 2)), 1, 2)).otherwise(F.slice(named("n1", 1), 1, 0))
+    out = lines.select("doc_id", "th", "run", "line_no", F.explode_outer(F.array(F.struct(_words(F.col("line")).alias("own"), after.alias("after")))).alias("x"))
+    return out.select("doc_id", "th", "run", "line_no", "x.*")
+
+
+def _least_windows(found: DataFrame) -> DataFrame:
+    """Of the windows of a run, those that stay: the best ones first, each against those kept before."""
+    key = F.struct((-F.col("shared")).alias("less"), (F.col("b") - F.col("a")).alias("n"), "a", "b", "family", "probability", "template", "shared")
+    runs = found.groupBy("doc_id", "th", "run").agg(F.array_sort(F.collect_list(key)).alias("all"))
+
+    def beats(c: Column, x: Column) -> Column:
+        same = (c["family"] == x["family"]) & (c["a"] <= x["b"]) & (x["a"] <= c["b"])
+        return same | ((c["shared"] > x["shared"]) & (c["a"] <= x["a"]) & (x["b"] <= c["b"]) & (c["n"] > x["n"]))
+
+    kept = F.aggregate("all", F.slice("all", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda c: beats(c, x)), acc).otherwise(F.concat(acc, F.array(x))))
+    out = runs.select("doc_id", F.explode(kept).alias("x"))
+    return out.select("doc_id", *[F.col("x")[c].alias(c) for c in ("a", "b", "family", "probability", "template", "shared")])
 
 
 def find_licences(docs: DataFrame) -> DataFrame:
-    """doc_id, paragraph (line number from 0), family, probability, template, shared (of the template's 2-grams).
+    """doc_id, paragraph (its first line, from 0), last_line (inclusive), family, probability, template, shared (of the template's 2-grams).
 
     One row for each paragraph of a licence family; of templates that share as
     much the first by text is named. Null and empty texts have none; repeated
@@ -169,38 +239,52 @@ def find_licences(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     sample = docs.where("text is not null").select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCUMENTS).collect()
-    model = train(sorted({line for r in sample for line in r.text.split("\n") if line.strip()}))
+    model = train(sorted({line for r in sample for line in ordinary(r.text)}))
     pairs = sorted(g for g in model.weights if g.count(" ") == 1)
 
-    lines = docs.select("doc_id", F.posexplode_outer(F.split(F.col("text").cast("string"), "\n")).alias("paragraph", "line"))
     # every 2-gram has one of these words, which is cheap to test on the whole line
     lead = sorted({max((w for w in g.split(" ") if w not in STOP), key=len) for g in pairs})
-    lines = lines.where(F.lower("line").rlike("(?<![a-z0-9])(?:" + "|".join(lead) + ")(?![a-z0-9])"))
-    tokens = lines.select("doc_id", "paragraph", F.xxhash64("line").alias("lh"), F.filter(F.split(F.lower("line"), _WORD_BREAK), lambda w: w != "").alias("tokens"))
-    own = tokens.select("doc_id", "paragraph", "lh", F.explode_outer(F.array_distinct(F.concat(_grams(F.col("tokens"), 2), _grams(F.col("tokens"), 3)))).alias("g"))
+    lines = _lines(docs, "(?<![a-z0-9])(?:" + "|".join(lead) + ")(?![a-z0-9])")
+    own = lines.select("doc_id", "th", "run", F.col("line_no").alias("s"), F.explode_outer(F.array_distinct(F.concat(_grams(2), _grams(3)))).alias("x")).select("doc_id", "th", "run", "s", "x.*")
     table, templates = _features(spark, model)
-    met = own.join(F.broadcast(table), "g").groupBy("doc_id", "paragraph", "lh")
-    sums = met.agg(
-        *[(F.sum(F.get("w", F.lit(k))) + F.lit(model.bias[k])).alias(f"z{k}") for k in range(len(model.families))],
-        *[(F.sum(F.get("t", F.lit(k)))).alias(f"t{k}") for k in range(len(templates))],
+    met = durable(own.join(F.broadcast(table.select("g")), "g"))
+    # a window has no more of a notice than its run
+    enough = F.array(*[F.sum(F.get("t", F.lit(k))) >= CONFIRM * n for k, (_, _, n) in enumerate(templates)])
+    runs = met.select("doc_id", "th", "run", "g").distinct().join(F.broadcast(table), "g").groupBy("doc_id", "th", "run").agg(enough.alias("enough")).where(F.array_contains("enough", True)).alias("y")
+    x = met.alias("x")
+    met = x.join(runs, F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.th") == F.col("y.th")) & (F.col("x.run") == F.col("y.run")), "left_semi")
+    # the windows from each line where a gram begins: every gram counts from the line where it first ends
+    start = F.explode(F.sequence(F.greatest(F.lit(0), F.col("s") - (MOST_LINES - 1)), F.col("s"))).alias("a")
+    window = ["doc_id", "th", "run", "a"]
+    reached = met.select("doc_id", "th", "run", start, "s", "e", "g").where(F.col("e") < F.col("a") + MOST_LINES)
+    reached = reached.groupBy(*window, "g").agg(F.min("e").alias("b"), F.min("s").alias("s"))
+    sums = reached.join(F.broadcast(table), "g").groupBy(*window, "b").agg(
+        F.min("s").alias("s"),
+        *[F.sum(F.get("w", F.lit(k))).alias(f"z{k}") for k in range(len(model.families))],
+        *[F.sum(F.get("t", F.lit(k))).alias(f"t{k}") for k in range(len(templates))],
     )
+    so_far = Window.partitionBy(*window).orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*window)
+    sums = sums.select(
+        *window, "b", F.min("s").over(whole).alias("s"),
+        *[(F.sum(f"z{k}").over(so_far) + F.lit(model.bias[k])).alias(f"z{k}") for k in range(len(model.families))],
+        *[F.sum(f"t{k}").over(so_far).alias(f"t{k}") for k in range(len(templates))],
+    ).where("s = a")
     # few rows; a stage of their own keeps the generated code small
-    z = durable(sums.select("doc_id", "paragraph", F.array(*[f"z{k}" for k in range(len(model.families))]).alias("z"), F.array(*[f"t{k}" for k in range(len(templates))]).alias("t")))
+    z = durable(sums.select(*window, "b", F.array(*[f"z{k}" for k in range(len(model.families))]).alias("z"), F.array(*[f"t{k}" for k in range(len(templates))]).alias("t")))
     names = F.split(F.lit("\n".join(model.families)), "\n")
     top = F.array_max("z")
     best = z.select(
-        "doc_id", "paragraph", "t",
+        *window, "b", "t",
         F.element_at(names, F.array_position("z", top).cast("int")).alias("family"),
         (1 / F.aggregate("z", F.lit(0.0), lambda acc, v: acc + F.exp(v - F.array_max("z")))).alias("probability"),
     )
     best = best.where((F.col("family") != UNKNOWN) & (F.col("probability") >= model.threshold))
     notices = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps([{"family": f, "template": t, "n": n, "k": k} for k, (f, t, n) in enumerate(templates)])), "array<struct<family:string,template:string,n:int,k:int>>")).alias("r")).select("r.*")
     compared = best.join(F.broadcast(notices), "family").withColumn("shared", F.get("t", F.col("k")) / F.col("n")).where(F.col("shared") >= CONFIRM)
-    return (
-        compared.groupBy("doc_id", "paragraph", "family", "probability")
-        .agg(F.min(F.struct(-F.col("shared"), "template", "shared")).alias("c"))
-        .select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), "family", "probability", "c.template", "c.shared")
-    )
+    named = compared.groupBy(*window, "b", "family", "probability").agg(F.min(F.struct(-F.col("shared"), "template", "shared")).alias("c"))
+    kept = _least_windows(named.select(*window, "b", "family", "probability", "c.template", "c.shared"))
+    return kept.select("doc_id", F.col("a").cast("long").alias("paragraph"), F.col("b").cast("long").alias("last_line"), "family", "probability", "template", "shared").distinct()
 
 
 def _features(spark: SparkSession, model: Classifier) -> tuple[DataFrame, list[tuple[str, str, int]]]:

@@ -276,6 +276,23 @@ def test_licences(spark):
     assert {(r.doc_id, r.paragraph, r.family) for r in find_licences(docs).collect()} == {(1, 1, "mit"), (1, 3, "proprietary")}
 
 
+def test_licences_of_wrapped_notices(spark):
+    from talkgrid.llm.licences import NOTICES, find_licences
+
+    gpl = [" * This program is free software: you can redistribute it and/or modify", " * it under the terms of the GNU General Public License as published by", " * the Free Software Foundation, either version 3 of the License."]
+    bsd = ["# Redistribution and use in source and binary forms, with or without", "# modification, are permitted provided that the following conditions are", "# met:"]
+    texts = {
+        1: "\n".join(["/*", " * some tool", " *", *gpl, " */"]),
+        2: "\n".join([*bsd, "", "plain prose"]),
+        3: "\n".join([*gpl, *bsd]),
+        4: "\n".join([gpl[0], "", gpl[1], "", gpl[2]]),
+        5: "\n".join(NOTICES["bsd"][0].split()),
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(r.doc_id, r.paragraph, r.last_line, r.family) for r in find_licences(docs).collect()}
+    assert got == {(1, 3, 5, "gpl"), (2, 0, 2, "bsd"), (3, 0, 2, "gpl"), (3, 3, 5, "bsd"), (5, 0, 20, "bsd")}
+
+
 def test_chat_repair_is_cheapest(spark):
     from itertools import product
 
