@@ -7,7 +7,9 @@ random bit of that word and step), which turn edit distance into Hamming
 distance; each repetition samples a few steps of its own walk as a key, and an
 item and a window with an equal key are compared by the exact distance. The
 repetitions are the number that reaches the target recall on edited copies of
-the items themselves.
+the items themselves. Where that takes more than MOST_REPETITIONS, which are
+classes of long items, nothing is sampled: a block of windows is compared with
+every item of the class that has enough word pairs of its own in it.
 
 Windows that cannot be near any item are not embedded: k edits of n words leave
 at least n - 1 - 2k of the item's word pairs whole, so a window with fewer word
@@ -17,7 +19,6 @@ loses nothing.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ _U = np.uint64
 MIN_WORDS = 5
 #: Items that are sent to every worker at once; a larger benchmark goes in several passes.
 ITEMS_PER_PASS = 20_000
-TARGET_RECALL, SAMPLED_STEPS, MOST_REPETITIONS = 0.995, 2, 48
+TARGET_RECALL, SAMPLED_STEPS, MOST_REPETITIONS, COPIES = 0.995, 2, 48, 400
 _PAIR_BITS = 22
 
 HITS = "doc_id long, item_id long, first_word long, last_word long, distance int"
@@ -87,6 +88,10 @@ def walk_keys(tokens: np.ndarray, steps: np.ndarray, repetition: int) -> np.ndar
     return key
 
 
+def _pair_hashes(words: np.ndarray) -> np.ndarray:
+    return mix(words[:-1] * _U(3) + words[1:])
+
+
 class Index:
     """LSH tables of one pass of items, by classes of item lengths."""
 
@@ -101,7 +106,7 @@ class Index:
         self.patterns = [masks(w.tolist()) for _, w in items]
         self.pairs = np.zeros(1 << _PAIR_BITS, dtype=bool)
         for _, w in items:
-            self.pairs[(mix(w[:-1] * _U(3) + w[1:]) & _U((1 << _PAIR_BITS) - 1)).astype(np.int64)] = True
+            self.pairs[(_pair_hashes(w) & _U((1 << _PAIR_BITS) - 1)).astype(np.int64)] = True
         self.classes = []
         low = 0
         while low < len(items):
@@ -120,23 +125,32 @@ class Index:
         rows = np.zeros((high - low, width), dtype=np.uint64)
         for i in range(low, high):
             rows[i - low, : len(self.items[i][1])] = self.items[i][1]
-        edited = self._edited(rows[rng.integers(0, high - low, 200)], [len(self.items[i][1]) for i in range(low, high)], rng)
-        found = []
-        for r, steps in enumerate(plan[:8]):
-            found.append(np.mean(walk_keys(edited[0], steps, r) == walk_keys(edited[1], steps, r)))
-        p = min(0.95, max(float(np.mean(found)), 0.02))
-        need = min(MOST_REPETITIONS, max(4, math.ceil(math.log(1 - TARGET_RECALL) / math.log(1 - p))))
+        copies = self._edited(rows[rng.integers(0, high - low, COPIES)], rng)
+        # as found by any repetition so far: copies that are hard to find are so in all of them
+        found, need = np.zeros(COPIES, dtype=bool), 0
+        while need < MOST_REPETITIONS and np.mean(found) < TARGET_RECALL:
+            found |= walk_keys(copies[0], plan[need], need) == walk_keys(copies[1], plan[need], need)
+            need += 1
         tables = []
-        for r in range(need):
+        for r in range(max(4, need) if np.mean(found) >= TARGET_RECALL else 0):
             keys = walk_keys(rows, plan[r], r)
             order = np.argsort(keys, kind="stable")
             tables.append((plan[r], keys[order], order + low))
         # the bound falls by one at each multiple of 5, so the shortest item need not have the least
         least = min(k - 1 - 2 * allowed(k) for k in range(n, most + 1))
-        return {"n": n, "most": most, "width": width, "least": max(1, least), "tables": tables, "stride": max(1, n // 8)}
+        out = {"n": n, "most": most, "width": width, "least": max(1, least), "tables": tables, "stride": max(1, n // 8), "low": low}
+        return out if tables else out | self._own_pairs(low, high)
+
+    def _own_pairs(self, low: int, high: int) -> dict:
+        """The word pairs of a class with the items that have them, and how many of its own each item needs."""
+        own = [np.unique(_pair_hashes(self.items[i][1])) for i in range(low, high)]
+        pairs, at = np.concatenate(own), np.repeat(np.arange(high - low), [len(x) for x in own])
+        order = np.argsort(pairs, kind="stable")
+        needs = np.array([len(w) - 1 - 2 * allowed(len(w)) for _, w in self.items[low:high]])
+        return {"pairs": pairs[order], "owners": at[order], "needs": needs}
 
     @staticmethod
-    def _edited(rows: np.ndarray, lengths: list[int], rng) -> tuple[np.ndarray, np.ndarray]:
+    def _edited(rows: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray]:
         """Rows, and copies of them with the most edits that are allowed."""
         out = np.zeros_like(rows)
         for i, row in enumerate(rows):
@@ -153,7 +167,7 @@ class Index:
         if not total or not self.items:
             return
         pair = np.zeros(total, dtype=np.int32)
-        pair[:-1] = self.pairs[(mix(words[:-1] * _U(3) + words[1:]) & _U((1 << _PAIR_BITS) - 1)).astype(np.int64)]
+        pair[:-1] = self.pairs[(_pair_hashes(words) & _U((1 << _PAIR_BITS) - 1)).astype(np.int64)]
         pair[first[1:-1][(first[1:-1] > 0) & (first[1:-1] <= total)] - 1] = 0
         hits = np.concatenate([[0], np.cumsum(pair)])
         for c in self.classes:
@@ -162,6 +176,9 @@ class Index:
             near = grid[hits[reach] - hits[grid] >= c["least"]]
             if not len(near):
                 continue
+            if not c["tables"]:
+                yield from self._compare(c, words, first, near)
+                continue
             starts = np.unique((near[:, None] + np.arange(c["stride"])[None, :]).ravel())
             starts = starts[starts < total]
             doc = np.searchsorted(first, starts, side="right") - 1
@@ -171,6 +188,25 @@ class Index:
             for a in range(0, len(starts), 20_000):
                 yield from self._probe(c, words, first, starts[a : a + 20_000], doc[a : a + 20_000], stop[a : a + 20_000])
 
+    def _compare(self, c: dict, words, first, near) -> Iterator[tuple[int, int, int, int, int]]:
+        """The passages that begin in the blocks at near, without sampling."""
+        for start in near.tolist():
+            end = min(start + c["stride"] + c["width"], len(words))
+            row = int(np.searchsorted(first, start, side="right")) - 1
+            while row < len(first) - 1 and first[row] < end:
+                a, b = max(int(first[row]), start), min(int(first[row + 1]), end)
+                hashes = _pair_hashes(words[a:b])
+                lo, hi = np.searchsorted(c["pairs"], hashes, side="left"), np.searchsorted(c["pairs"], hashes, side="right")
+                owners = [c["owners"][x:y] for x, y in zip(lo, hi, strict=True) if y > x]
+                count = np.bincount(np.concatenate(owners), minlength=len(c["needs"])) if owners else np.zeros(len(c["needs"]), dtype=np.int64)
+                for i in np.flatnonzero(count >= c["needs"]).tolist():
+                    item = c["low"] + i
+                    n = len(self.items[item][1])
+                    distance, at = edit_search(self.patterns[item], n, words[a:b].tolist())
+                    if distance <= allowed(n):
+                        yield row, item, max(a, a + at - n) - int(first[row]), a + at - int(first[row]), distance
+                row += 1
+
     def _probe(self, c: dict, words, first, starts, doc, stop) -> Iterator[tuple[int, int, int, int, int]]:
         at = starts[:, None] + np.arange(c["width"])[None, :]
         tokens = np.where(at < stop[:, None], words[np.minimum(at, len(words) - 1)], _U(0))

@@ -251,6 +251,27 @@ def test_decontamination_of_spread_edits(spark):
     assert found == {(k, k, len(w) // 5) for k, w in enumerate(items)}
 
 
+def test_decontamination_of_long_items(spark):
+    from talkgrid.llm.decontaminate import find_leaks
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    items = [[word() for _ in range(n)] for n in (300, 310, 400, 1000) for _ in range(6)]
+    texts = []
+    for item in items:
+        w = list(item)
+        for _ in range(len(item) // 5):
+            at, kind = rng.randrange(len(w)), rng.randrange(3)
+            w[at : at + (kind != 0)] = [] if kind == 1 else [word()]
+        texts.append(" ".join([word() for _ in range(rng.randrange(90))] + w + [word() for _ in range(rng.randrange(90))]))
+        texts.append(" ".join(w[: len(w) // 2]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    found = find_leaks(docs, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(2 * k, k) for k in range(len(items))}
+    assert all(r.distance <= len(items[r.item_id]) // 5 for r in found)
+
+
 def test_language_held_out(spark):
     from talkgrid.llm.queries import QUERIES
 
