@@ -30,7 +30,7 @@ from talkgrid.llm._arrow import in_small_batches
 from talkgrid.llm._words import mix, slices, word_hashes
 
 _U = np.uint64
-#: Items of fewer words are left out: a phrase is no evidence.
+#: Items of fewer words have no edits allowed and are matched word for word.
 MIN_WORDS = 5
 #: Items that are sent to every worker at once; a larger benchmark goes in several passes.
 ITEMS_PER_PASS = 20_000
@@ -92,6 +92,15 @@ def _pair_hashes(words: np.ndarray) -> np.ndarray:
     return mix(words[:-1] * _U(3) + words[1:])
 
 
+def _run_hashes(words: np.ndarray, m: int) -> np.ndarray:
+    """Hashes of all runs of m words."""
+    count = max(0, len(words) - m + 1)
+    out = mix(words[:count])
+    for k in range(1, m):
+        out = mix(out * _U(3) + words[k : k + count])
+    return out
+
+
 class Index:
     """LSH tables of one pass of items, by classes of item lengths."""
 
@@ -101,8 +110,15 @@ class Index:
         for a, b, data, offsets in slices(column):
             words, first = word_hashes(data, offsets)
             items += [(item_ids[a + i], words[first[i] : first[i + 1]]) for i in range(b - a)]
+        short = [x for x in items if 0 < len(x[1]) < MIN_WORDS]
         items = sorted((x for x in items if len(x[1]) >= MIN_WORDS), key=lambda x: len(x[1]))
-        self.items = items
+        self.items = items + short
+        self.short = []
+        for m in sorted({len(w) for _, w in short}):
+            at = np.array([i for i, (_, w) in enumerate(self.items) if len(w) == m])
+            keys = np.concatenate([_run_hashes(self.items[i][1], m) for i in at])
+            order = np.argsort(keys, kind="stable")
+            self.short.append((m, keys[order], at[order]))
         self.patterns = [masks(w.tolist()) for _, w in items]
         self.pairs = np.zeros(1 << _PAIR_BITS, dtype=bool)
         for _, w in items:
@@ -166,6 +182,7 @@ class Index:
         total = len(words)
         if not total or not self.items:
             return
+        yield from self._exact(words, first)
         pair = np.zeros(total, dtype=np.int32)
         pair[:-1] = self.pairs[(_pair_hashes(words) & _U((1 << _PAIR_BITS) - 1)).astype(np.int64)]
         pair[first[1:-1][(first[1:-1] > 0) & (first[1:-1] <= total)] - 1] = 0
@@ -188,6 +205,21 @@ class Index:
             for a in range(0, len(starts), 20_000):
                 yield from self._probe(c, words, first, starts[a : a + 20_000], doc[a : a + 20_000], stop[a : a + 20_000])
 
+    def _exact(self, words, first) -> Iterator[tuple[int, int, int, int, int]]:
+        """The first place of each short item in each document."""
+        for m, keys, items in self.short:
+            hashes = _run_hashes(words, m)
+            lo, hi = np.searchsorted(keys, hashes, side="left"), np.searchsorted(keys, hashes, side="right")
+            at = np.flatnonzero(hi > lo)
+            rows = np.searchsorted(first, at, side="right") - 1
+            inside = at + m <= first[rows + 1]
+            seen = set()
+            for x, row in zip(at[inside].tolist(), rows[inside].tolist(), strict=True):
+                for item in items[lo[x] : hi[x]].tolist():
+                    if (row, item) not in seen:
+                        seen.add((row, item))
+                        yield row, item, x - int(first[row]), x + m - int(first[row]), 0
+
     def _compare(self, c: dict, words, first, near) -> Iterator[tuple[int, int, int, int, int]]:
         """The passages that begin in the blocks at near, without sampling."""
         for start in near.tolist():
@@ -264,8 +296,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id and the nearest passage (words first_word to last_word, end exclusive, and its distance).
 
     One row for each document and item with a passage within the distance; the
-    documents without one have no row. Null or empty texts and items, and items
-    of fewer than MIN_WORDS words, match nothing; a null doc_id stays null (its
+    documents without one have no row. Null or empty texts and items match
+    nothing; a null doc_id stays null (its
     rows are told apart by item only); other columns are ignored; an empty
     table on either side gives no row; repeated documents give equal rows once.
     """

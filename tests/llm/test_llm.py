@@ -272,6 +272,15 @@ def test_decontamination_of_long_items(spark):
     assert all(r.distance <= len(items[r.item_id]) // 5 for r in found)
 
 
+def test_decontamination_of_short_items(spark):
+    from talkgrid.llm.decontaminate import find_leaks
+
+    docs = spark.createDataFrame([(0, "a b c d e"), (1, "x A  b"), (2, "ab c d"), (3, "c"), (4, "d e a"), (5, None), (6, "")], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, "a b"), (1, "c"), (2, "b c d e"), (3, "e x"), (4, ""), (5, "A B")], "item_id long, text string")
+    found = {(r.doc_id, r.item_id, r.first_word, r.last_word, r.distance) for r in find_leaks(docs, bench).collect()}
+    assert found == {(0, 0, 0, 2, 0), (0, 5, 0, 2, 0), (1, 0, 1, 3, 0), (1, 5, 1, 3, 0), (0, 1, 2, 3, 0), (2, 1, 1, 2, 0), (3, 1, 0, 1, 0), (0, 2, 1, 5, 0)}
+
+
 def test_language_held_out(spark):
     from talkgrid.llm.queries import QUERIES
 
