@@ -25,6 +25,8 @@ from talkgrid.session import durable
 
 CAPACITY = 2048
 END_ID = 1
+# Strings that are single ids of the vocabulary wherever a text holds them.
+ADDED = {"<|endoftext|>": 50256}
 #: A document's rest is cut into at most so many pieces.
 REST_PIECES = 3
 #: Groups of leftovers that meet in one group of the next level.
@@ -42,12 +44,12 @@ def encoder(vocabulary: str):
     path = public_tokenizers.path(vocabulary.removesuffix(".json") + ".tiktoken")
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
 
 
 def token_ids(text: str | None, vocabulary: str) -> np.ndarray:
     """A document's ids with the end id."""
-    ids = encoder(vocabulary).encode_ordinary(text or "")
+    ids = encoder(vocabulary).encode(text or "", allowed_special="all")
     ids.append(END_ID)
     return np.array(ids, dtype="<u4")
 
