@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 #: Rows and bytes of a batch that goes to a Python worker.
-ROWS, BYTES = 1000, 8 << 20
+ROWS, BYTES = 1000, 4 << 20
 
 
 def in_small_batches(df: DataFrame) -> DataFrame:

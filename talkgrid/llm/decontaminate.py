@@ -13,8 +13,10 @@ every item of the class that has enough word pairs of its own in it.
 
 Windows that cannot be near any item are not embedded: k edits of n words leave
 at least n - 1 - 2k of the item's word pairs whole, so a window with fewer word
-pairs of the benchmark than the least of this over its class is skipped. That
-loses nothing.
+pairs of its class than the least of this over the class is skipped, and so is
+a candidate with fewer pairs of its item. The nearest passage begins with a word
+that it shares with the item, one of the item's first k + 1, so other windows
+are skipped too. That loses nothing.
 """
 
 from __future__ import annotations
@@ -36,6 +38,10 @@ MIN_WORDS = 5
 ITEMS_PER_PASS = 20_000
 TARGET_RECALL, SAMPLED_STEPS, MOST_REPETITIONS, COPIES = 0.995, 2, 48, 400
 _PAIR_BITS = 22
+#: Classes that have a bit of their own in the table of word pairs; more of them share bits.
+_CLASS_BITS = 16
+#: Bytes of the windows that are embedded at once.
+PROBE_BYTES = 4 << 20
 
 HITS = "doc_id long, item_id long, first_word long, last_word long, distance int"
 
@@ -64,6 +70,29 @@ def edit_search(pattern: dict[int, int], n: int, text: list[int]) -> tuple[int,
     return best, at
 
 
+def passage_start(words: list[int], text: list[int]) -> int:
+    """The last start in text from which all of text is as near to words as any such part is."""
+    n = len(words)
+    full, top = (1 << n) - 1, 1 << (n - 1)
+    pattern = masks(words[::-1])
+    pv, mv, score, best, at = full, 0, n, n, 0
+    for pos, word in enumerate(reversed(text), 1):
+        eq = pattern.get(word, 0)
+        xv = eq | mv
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph, mh = mv | (~(xh | pv) & full), pv & xh
+        if ph & top:
+            score += 1
+        elif mh & top:
+            score -= 1
+        # unlike a search, the part is held to the end of text
+        ph, mh = ((ph << 1) | 1) & full, (mh << 1) & full
+        pv, mv = mh | (~(xv | ph) & full), ph & xv
+        if score < best:
+            best, at = score, pos
+    return len(text) - at
+
+
 def masks(words: list[int]) -> dict[int, int]:
     out: dict[int, int] = {}
     for i, w in enumerate(words):
@@ -71,23 +100,32 @@ def masks(words: list[int]) -> dict[int, int]:
     return out
 
 
-def walk_keys(tokens: np.ndarray, steps: np.ndarray, repetition: int) -> np.ndarray:
-    """Keys of the CGK walks over the rows of tokens (0 pads), from the words at the sampled steps."""
-    seed = mix(np.array([repetition * 1_000_003 + 17], dtype=np.uint64))[0]
-    rows, width = np.arange(len(tokens)), tokens.shape[1]
-    at = np.zeros(len(tokens), dtype=np.int64)
-    key = np.full(len(tokens), seed, dtype=np.uint64)
-    bits = None
-    for step in range(int(steps.max()) + 1):
+def walk_keys(tokens: np.ndarray, plan: np.ndarray) -> np.ndarray:
+    """Repetitions x rows: keys of the CGK walks over the rows of tokens (0 pads), from the words at the steps that plan samples."""
+    reps, (count, width) = len(plan), tokens.shape
+    seeds = mix(np.arange(reps, dtype=np.uint64) * _U(1_000_003) + _U(17))[:, None]
+    at = np.zeros((reps, count), dtype=np.int64)
+    key = np.repeat(seeds, count, axis=1)
+    rows = np.arange(count) * width
+    cells = np.arange(reps)[:, None] * (count * width) + rows
+    flat = tokens.ravel()
+    for step in range(int(plan.max()) + 1):
         if step % 64 == 0:
-            bits = mix(tokens ^ (seed + _U(step)))
+            bits = mix(flat ^ (seeds + _U(step))).ravel()
         here = np.minimum(at, width - 1)
-        if step in steps:
-            key = mix(key ^ np.where(at < width, tokens[rows, here], _U(0)))
-        at += ((bits[rows, here] >> _U(step % 64)) & _U(1)).astype(np.int64)
+        sampled = np.flatnonzero((plan == step).any(axis=1))
+        if len(sampled):
+            key[sampled] = mix(key[sampled] ^ np.where(at[sampled] < width, flat[rows + here[sampled]], _U(0)))
+        at += ((bits[cells + here] >> _U(step % 64)) & _U(1)).astype(np.int64)
     return key
 
 
+def _walks(tokens: np.ndarray, plan: np.ndarray) -> np.ndarray:
+    """walk_keys() of many rows, in parts of bounded size."""
+    size = max(1, PROBE_BYTES // (8 * tokens.shape[1] * len(plan)))
+    return np.concatenate([walk_keys(tokens[a : a + size], plan) for a in range(0, len(tokens), size)], axis=1)
+
+
 def _pair_hashes(words: np.ndarray) -> np.ndarray:
     return mix(words[:-1] * _U(3) + words[1:])
 
@@ -101,6 +139,10 @@ def _run_hashes(words: np.ndarray, m: int) -> np.ndarray:
     return out
 
 
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & _U((1 << _PAIR_BITS) - 1)).astype(np.int64)
+
+
 class Index:
     """LSH tables of one pass of items, by classes of item lengths."""
 
@@ -120,9 +162,9 @@ class Index:
             order = np.argsort(keys, kind="stable")
             self.short.append((m, keys[order], at[order]))
         self.patterns = [masks(w.tolist()) for _, w in items]
-        self.pairs = np.zeros(1 << _PAIR_BITS, dtype=bool)
-        for _, w in items:
-            self.pairs[(_pair_hashes(w) & _U((1 << _PAIR_BITS) - 1)).astype(np.int64)] = True
+        self.own_pairs = [np.unique(_pair_hashes(w)) for _, w in items]
+        self.pairs = np.zeros(1 << _PAIR_BITS, dtype=np.uint16)
+        self.leads = np.zeros(1 << _PAIR_BITS, dtype=np.uint16)
         self.classes = []
         low = 0
         while low < len(items):
@@ -130,36 +172,38 @@ class Index:
             high = low
             while high < len(items) and len(items[high][1]) * 8 <= n * 9:
                 high += 1
-            self.classes.append(self._class(low, high))
+            bit = np.uint16(1 << len(self.classes) % _CLASS_BITS)
+            for own in self.own_pairs[low:high]:
+                self.pairs[_slot(own)] |= bit
+            for _, w in items[low:high]:
+                self.leads[_slot(w[: allowed(len(w)) + 1])] |= bit
+            self.classes.append(self._class(low, high) | {"bit": bit})
             low = high
 
     def _class(self, low: int, high: int) -> dict:
         n, most = len(self.items[low][1]), len(self.items[high - 1][1])
         width = most + allowed(most)
         rng = np.random.Generator(np.random.PCG64(n))
-        plan = [np.sort(rng.choice(2 * n, SAMPLED_STEPS, replace=False)) for _ in range(MOST_REPETITIONS)]
+        plan = np.array([np.sort(rng.choice(2 * n, SAMPLED_STEPS, replace=False)) for _ in range(MOST_REPETITIONS)])
         rows = np.zeros((high - low, width), dtype=np.uint64)
         for i in range(low, high):
             rows[i - low, : len(self.items[i][1])] = self.items[i][1]
         copies = self._edited(rows[rng.integers(0, high - low, COPIES)], rng)
         # as found by any repetition so far: copies that are hard to find are so in all of them
-        found, need = np.zeros(COPIES, dtype=bool), 0
-        while need < MOST_REPETITIONS and np.mean(found) < TARGET_RECALL:
-            found |= walk_keys(copies[0], plan[need], need) == walk_keys(copies[1], plan[need], need)
-            need += 1
+        found = np.logical_or.accumulate(_walks(copies[0], plan) == _walks(copies[1], plan), axis=0).mean(axis=1)
+        need = max(4, int(np.argmax(found >= TARGET_RECALL)) + 1) if found[-1] >= TARGET_RECALL else 0
         tables = []
-        for r in range(max(4, need) if np.mean(found) >= TARGET_RECALL else 0):
-            keys = walk_keys(rows, plan[r], r)
+        for keys in _walks(rows, plan[:need]) if need else ():
             order = np.argsort(keys, kind="stable")
-            tables.append((plan[r], keys[order], order + low))
+            tables.append((keys[order], order + low))
         # the bound falls by one at each multiple of 5, so the shortest item need not have the least
         least = min(k - 1 - 2 * allowed(k) for k in range(n, most + 1))
-        out = {"n": n, "most": most, "width": width, "least": max(1, least), "tables": tables, "stride": max(1, n // 8), "low": low}
+        out = {"n": n, "most": most, "width": width, "least": max(1, least), "plan": plan[:need], "tables": tables, "stride": max(1, n // 8), "low": low}
         return out if tables else out | self._own_pairs(low, high)
 
     def _own_pairs(self, low: int, high: int) -> dict:
         """The word pairs of a class with the items that have them, and how many of its own each item needs."""
-        own = [np.unique(_pair_hashes(self.items[i][1])) for i in range(low, high)]
+        own = self.own_pairs[low:high]
         pairs, at = np.concatenate(own), np.repeat(np.arange(high - low), [len(x) for x in own])
         order = np.argsort(pairs, kind="stable")
         needs = np.array([len(w) - 1 - 2 * allowed(len(w)) for _, w in self.items[low:high]])
@@ -167,13 +211,15 @@ class Index:
 
     @staticmethod
     def _edited(rows: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray]:
-        """Rows, and copies of them with the most edits that are allowed."""
+        """Rows, and copies of them with the most edits that are allowed, from where a window of them can begin."""
         out = np.zeros_like(rows)
         for i, row in enumerate(rows):
             words = row[row != 0].tolist()
             for _ in range(allowed(len(words))):
                 at, kind = int(rng.integers(0, len(words))), int(rng.integers(0, 3))
                 words[at : at + (kind != 0)] = [] if kind == 1 else [int(rng.integers(1, 1 << 62))]
+            begin = set(row[: allowed(int(np.count_nonzero(row))) + 1].tolist())
+            words = words[next(j for j, w in enumerate(words) if w in begin) :]
             out[i, : len(words)] = words[: rows.shape[1]]
         return rows, out
 
@@ -183,11 +229,14 @@ class Index:
         if not total or not self.items:
             return
         yield from self._exact(words, first)
-        pair = np.zeros(total, dtype=np.int32)
-        pair[:-1] = self.pairs[(_pair_hashes(words) & _U((1 << _PAIR_BITS) - 1)).astype(np.int64)]
+        hashes = _pair_hashes(words)
+        pair = np.zeros(total, dtype=np.uint16)
+        pair[:-1] = self.pairs[_slot(hashes)]
         pair[first[1:-1][(first[1:-1] > 0) & (first[1:-1] <= total)] - 1] = 0
-        hits = np.concatenate([[0], np.cumsum(pair)])
+        lead = self.leads[_slot(words)]
+        hits = np.zeros(total + 1, dtype=np.int32)
         for c in self.classes:
+            np.cumsum((pair & c["bit"]) != 0, out=hits[1:])
             grid = np.arange(0, total, c["stride"])
             reach = np.minimum(grid + c["stride"] + c["width"], total)
             near = grid[hits[reach] - hits[grid] >= c["least"]]
@@ -198,12 +247,12 @@ class Index:
                 continue
             starts = np.unique((near[:, None] + np.arange(c["stride"])[None, :]).ravel())
             starts = starts[starts < total]
+            starts = starts[((lead[starts] & c["bit"]) != 0) & (hits[np.minimum(starts + c["width"], total)] - hits[starts] >= c["least"])]
             doc = np.searchsorted(first, starts, side="right") - 1
             stop = first[doc + 1]
             keep = stop - starts >= c["n"] - allowed(c["n"])
             starts, doc, stop = starts[keep], doc[keep], stop[keep]
-            for a in range(0, len(starts), 20_000):
-                yield from self._probe(c, words, first, starts[a : a + 20_000], doc[a : a + 20_000], stop[a : a + 20_000])
+            yield from self._probe(c, words, hashes, first, starts, doc, stop)
 
     def _exact(self, words, first) -> Iterator[tuple[int, int, int, int, int]]:
         """The first place of each short item in each document."""
@@ -236,30 +285,51 @@ class Index:
                     n = len(self.items[item][1])
                     distance, at = edit_search(self.patterns[item], n, words[a:b].tolist())
                     if distance <= allowed(n):
-                        yield row, item, max(a, a + at - n) - int(first[row]), a + at - int(first[row]), distance
+                        yield row, item, *self._passage(item, words, int(first[row]), (distance, a, a + at)), distance
                 row += 1
 
-    def _probe(self, c: dict, words, first, starts, doc, stop) -> Iterator[tuple[int, int, int, int, int]]:
-        at = starts[:, None] + np.arange(c["width"])[None, :]
-        tokens = np.where(at < stop[:, None], words[np.minimum(at, len(words) - 1)], _U(0))
-        found = []
-        for r, (steps, keys, items) in enumerate(c["tables"]):
-            got = walk_keys(tokens, steps, r)
-            lo, hi = np.searchsorted(keys, got, side="left"), np.searchsorted(keys, got, side="right")
-            for x in np.flatnonzero(hi > lo):
-                found += [(int(items[y]), int(x)) for y in range(lo[x], hi[x])]
-        done: dict[tuple[int, int], int] = {}
-        for item, x in sorted(set(found)):
-            start, row = int(starts[x]), int(doc[x])
-            if start < done.get((item, row), -1):
-                continue
+    def _probe(self, c: dict, words, hashes, first, starts, doc, stop) -> Iterator[tuple[int, int, int, int, int]]:
+        """The nearest passage of each item and document around the windows that meet the item."""
+        found: dict[tuple[int, int], list[int]] = {}
+        size = max(1, PROBE_BYTES // (8 * c["width"] * len(c["plan"])))
+        for z in range(0, len(starts), size):
+            at = starts[z : z + size, None] + np.arange(c["width"])[None, :]
+            tokens = np.where(at < stop[z : z + size, None], words[np.minimum(at, len(words) - 1)], _U(0))
+            for got, (keys, items) in zip(walk_keys(tokens, c["plan"]), c["tables"], strict=True):
+                lo, hi = np.searchsorted(keys, got, side="left"), np.searchsorted(keys, got, side="right")
+                for x in np.flatnonzero(hi > lo).tolist():
+                    for item in items[lo[x] : hi[x]].tolist():
+                        found.setdefault((item, int(doc[z + x])), []).append(int(starts[z + x]))
+        for (item, row), places in found.items():
             n = len(self.items[item][1])
             k = allowed(n)
-            a, b = max(int(first[row]), start - k), min(int(stop[x]), start + n + 2 * k)
-            distance, end = edit_search(self.patterns[item], n, words[a:b].tolist())
-            if distance <= k:
-                done[item, row] = a + end
-                yield row, item, max(a, a + end - n) - int(first[row]), a + end - int(first[row]), distance
+            begin, end = int(first[row]), int(first[row + 1])
+            own = self.own_pairs[item]
+            places = sorted(set(places))
+            a, b = max(begin, places[0] - k), min(end, places[0] + n + 2 * k)
+            best = None
+            # windows that overlap are searched as one
+            for start in [*places[1:], None]:
+                if start is not None and start - k <= b:
+                    b = min(end, start + n + 2 * k)
+                    continue
+                met = hashes[a : b - 1]
+                near = np.minimum(np.searchsorted(own, met), len(own) - 1)
+                if np.count_nonzero(own[near] == met) >= n - 1 - 2 * k:
+                    distance, stop_at = edit_search(self.patterns[item], n, words[a:b].tolist())
+                    if distance <= k and (best is None or distance < best[0]):
+                        best = distance, a, a + stop_at
+                if start is not None:
+                    a, b = max(begin, start - k), min(end, start + n + 2 * k)
+            if best:
+                yield row, item, *self._passage(item, words, begin, best), best[0]
+
+    def _passage(self, item: int, words, begin: int, best: tuple[int, int, int]) -> tuple[int, int]:
+        """Where the passage begins and ends in its document, of which the first word is begin."""
+        _, low, end = best
+        own = self.items[item][1].tolist()
+        low = max(low, end - len(own) - allowed(len(own)))
+        return low + passage_start(own, words[low:end].tolist()) - begin, end - begin
 
 
 def _passes(benchmark: DataFrame) -> Iterator[Index]:
