@@ -7,7 +7,9 @@ share a word among the first a - ceil(0.9 a) + 1 of one and the first
 b - ceil(0.9 b) + 1 of the other, so lines meet on these prefix words. Length
 and position filters and a parity sketch, whose Hamming distance is at most the
 symmetric difference, come before the exact test on the sets. Semi-joins stop
-at a line's first match, so no group is expanded into its pairs.
+at a line's first match, so no group is expanded into its pairs. Two different
+sets of fewer than 9 and 10 words are never similar enough, so smaller lines,
+down to a single word, meet as equal sets only.
 
 A line is removed when an earlier line, by doc_id and line number, is similar;
 it does not matter whether that line is removed itself.
@@ -24,6 +26,10 @@ from talkgrid.session import durable
 NUM, DEN = 9, 10
 #: Word frequencies are counted in so many hash buckets, a bounded table.
 BUCKETS = 1 << 16
+#: Ranks are so few that the JVM keeps their boxed values.
+RANKS = 128
+#: Up to so many texts with lines to compare are told to all tasks by 8 bytes each; more of them are joined.
+BROADCAST_TEXTS = 1 << 21
 _HASH_BITS = 51
 _MASK = (1 << _HASH_BITS) - 1
 # What separates words in a line, besides a space.
@@ -43,17 +49,16 @@ def _words(spaced: Column) -> Column:
     return F.array_remove(F.split(spaced, " "), "")
 
 
-def _bucket(w: Column) -> Column:
-    return F.hash(w).bitwiseAND(F.lit(BUCKETS - 1))
+def _bucket(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
 def _ranks(spaced: DataFrame) -> Column:
-    """A literal array of each bucket's rank, 0 to 4095 by how many words of the corpus it holds."""
+    """A literal array of each bucket's rank by how many words of the corpus it holds, a quarter of a doubling a step."""
     # outer generators, as the optimizer evaluates the argument of the others twice
     words = spaced.select(F.explode_outer(F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
-    counts = words.select(_bucket(F.col("w")).alias("b")).groupBy("b").agg(F.count("*").alias("n"))
-    rank = F.least(F.lit(4095), F.floor(F.log2(F.col("n") + 1) * 96)).cast("long")
-    ranked = counts.select("b", rank.alias("r"))
+    counts = words.select(_bucket(F.xxhash64("w")).alias("b")).groupBy("b").agg(F.count("*").alias("n"))
+    ranked = counts.select("b", F.least(F.lit(RANKS - 1), F.floor(F.log2("n") * 3)).alias("r"))
     # at most BUCKETS rows, kept as one literal; its text stands in every plan that the driver holds, so the numbers are short
     table = [0] * BUCKETS
     for row in ranked.collect():
@@ -64,9 +69,9 @@ def _ranks(spaced: DataFrame) -> Column:
 def _tokens(line: Column, ranks: Column) -> Column:
     """Sorted values of a line's words: the rank in the high bits, the hash below."""
     # never null, so that the values are sorted without boxing
-    rank = lambda w: F.coalesce(F.get(ranks, _bucket(w)), F.lit(0).cast("long"))
-    value = lambda w: F.shiftleft(rank(w), _HASH_BITS).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit(_MASK)))
-    return F.sort_array(F.array_distinct(F.transform(_words(line), value)))
+    rank = lambda h: F.coalesce(F.get(ranks, _bucket(h)), F.lit(0).cast("long"))
+    value = lambda h: F.shiftleft(rank(h), _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit(_MASK)))
+    return F.sort_array(F.transform(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))), value))
 
 
 def _parity(tokens: Column) -> Column:
@@ -95,7 +100,6 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     sets = lines.select("doc_id", "th", "line_no", F.explode_outer(F.array(_tokens(F.col("line"), ranks))).alias("tokens")).where(F.size("tokens") > 0)
     n = F.size("tokens")
     prefix = n - F.ceil(n * NUM / DEN).cast("int") + 1
-    # two different sets of fewer than 9 and 10 words are never similar enough: they meet as equal sets only
     joins = n * 2 + 1 >= (DEN + NUM) // (DEN - NUM)
     described = durable(
         sets.select(
@@ -105,39 +109,32 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         )
     )
     first = F.min(F.struct("doc_id", "line_no", "th", "prefix", "x")).alias("f")
-    classes = durable(described.groupBy("sh", "n").agg(first).select("sh", "n", "f.*"))
+    classes = durable(described.groupBy("sh", "n").agg(first, F.count("*").alias("lines")).select("sh", "n", "lines", "f.*"))
     buckets = classes.where("prefix is not null").select("sh", "n", "doc_id", "line_no", "x", F.posexplode("prefix").alias("i", "token"))
 
-    s, r = buckets.alias("s"), buckets.alias("r")
-    sizes = F.col("s.n") + F.col("r.n")
-    far = F.bit_count(F.col("s.x").bitwiseXOR(F.col("r.x")))
-    left_over = F.least(F.col("s.n") - F.col("s.i"), F.col("r.n") - F.col("r.i"))
-    # in whole numbers, and the dearest test last: most rows of a token meet only themselves
-    fits = (
-        ((F.col("s.sh") != F.col("r.sh")) | (F.col("s.n") != F.col("r.n")))
-        & (DEN * F.least("s.n", "r.n") >= NUM * F.greatest("s.n", "r.n"))
-        & ((NUM + DEN) * left_over >= NUM * sizes)
-    )
-    meet = (F.col("s.token") == F.col("r.token")) & fits & ((NUM + DEN) * far <= (DEN - NUM) * sizes) & _earlier("r", "s")
-    close = durable(s.join(r, meet, "left_semi").select("token", "sh", "n", "doc_id", "line_no", "x", "i"))
-    partners = durable(buckets.alias("r").join(close.alias("s"), meet, "left_semi").select("token", "sh", "n", "doc_id", "line_no", "i"))
+    def fits(s: str, r: str) -> Column:
+        """In whole numbers, and the dearest test last: most rows of a token meet only themselves."""
+        sizes = F.col(f"{s}.n") + F.col(f"{r}.n")
+        left_over = F.least(F.col(f"{s}.n") - F.col(f"{s}.i"), F.col(f"{r}.n") - F.col(f"{r}.i"))
+        return (
+            (F.col(f"{s}.token") == F.col(f"{r}.token"))
+            & ((F.col(f"{s}.sh") != F.col(f"{r}.sh")) | (F.col(f"{s}.n") != F.col(f"{r}.n")))
+            & (DEN * F.least(f"{s}.n", f"{r}.n") >= NUM * F.greatest(f"{s}.n", f"{r}.n"))
+            & ((NUM + DEN) * left_over >= NUM * sizes)
+            & ((NUM + DEN) * F.bit_count(F.col(f"{s}.x").bitwiseXOR(F.col(f"{r}.x"))) <= (DEN - NUM) * sizes)
+        )
 
-    # the sets of the lines that meet there, from their texts again
-    both = close.select("sh", "n").union(partners.select("sh", "n")).distinct()
-    wanted = classes.join(both, ["sh", "n"], "left_semi").groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("numbers"))
-    x, w = spaced.alias("x"), wanted.alias("w")
-    texts = x.join(w, F.col("x.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("x.th") == F.col("w.th"))).select("text", "numbers")
-    # generated, so that each text is split once
-    split = texts.select("numbers", F.explode_outer(F.array(F.split("text", "\n"))).alias("lines"))
-    again = split.select(F.explode_outer(F.transform("numbers", lambda i: F.get("lines", i))).alias("line"))
-    tokens = again.select(_tokens(F.col("line"), ranks).alias("tokens")).select(F.xxhash64("tokens").alias("sh"), F.size("tokens").alias("n"), "tokens")
-    tokens = durable(tokens.dropDuplicates(["sh", "n"]))
-    left = close.join(tokens, ["sh", "n"]).alias("s")
-    right = partners.join(tokens, ["sh", "n"]).alias("r")
+    # whoever has a partner here is one, so these rows are both sides of the exact join
+    near = durable(buckets.alias("s").join(buckets.alias("r"), fits("s", "r"), "left_semi"))
+    tokens = _tokens_again(spaced, classes.join(near.select("sh", "n").distinct(), ["sh", "n"], "left_semi"), ranks)
+    full = near.join(tokens, ["sh", "n"])
     shared = F.size(F.array_intersect("s.tokens", "r.tokens"))
-    similar = left.join(right, (F.col("s.token") == F.col("r.token")) & fits & _earlier("r", "s") & (DEN * shared >= NUM * (sizes - shared)), "left_semi").select("sh", "n").distinct()
+    exact = fits("s", "r") & _earlier("r", "s") & (DEN * shared >= NUM * (F.col("s.n") + F.col("r.n") - shared))
+    similar = full.alias("s").join(full.alias("r"), exact, "left_semi").select("sh", "n").distinct()
 
-    marked = classes.join(similar.withColumn("near", F.lit(True)), ["sh", "n"], "left").select("sh", "n", F.col("doc_id").alias("d"), F.col("line_no").alias("l"), F.coalesce("near", F.lit(False)).alias("near"))
+    # the classes that lose a line, so that the lines of a common one are joined and not grouped
+    marked = classes.join(similar.withColumn("near", F.lit(True)), ["sh", "n"], "left").where("near or lines > 1")
+    marked = durable(marked.select("sh", "n", F.col("doc_id").alias("d"), F.col("line_no").alias("l"), F.coalesce("near", F.lit(False)).alias("near")))
     again = ~(F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line_no") == F.col("l")))
     return (
         described.select("doc_id", "th", "line_no", "sh", "n")
@@ -148,12 +145,30 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     )
 
 
+def _tokens_again(spaced: DataFrame, classes: DataFrame, ranks: Column) -> DataFrame:
+    """sh, n and tokens of classes, from the texts of their first lines."""
+    wanted = durable(classes.groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("numbers")))
+    if wanted.count() <= BROADCAST_TEXTS:
+        spaced = spaced.join(F.broadcast(wanted.select("th")), "th", "left_semi")
+    x, w = spaced.alias("x"), wanted.alias("w")
+    texts = x.join(w, F.col("x.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("x.th") == F.col("w.th"))).select("text", "numbers")
+    # generated, so that each text is split once
+    split = texts.select("numbers", F.explode_outer(F.array(F.split("text", "\n"))).alias("lines"))
+    again = split.select(F.explode_outer(F.transform("numbers", lambda i: F.get("lines", i))).alias("line"))
+    tokens = again.select(_tokens(F.col("line"), ranks).alias("tokens")).select(F.xxhash64("tokens").alias("sh"), F.size("tokens").alias("n"), "tokens")
+    return durable(tokens.dropDuplicates(["sh", "n"]))
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs without the removed lines; a document that loses all its lines with a word goes, and so do no others."""
-    keyed = docs.withColumn("__th", F.xxhash64(F.col("text").cast("string")))
-    x, y = keyed.alias("x"), removed_lines(docs).alias("y")
+    """docs without the removed lines; a document that loses all its lines with a word goes, and so do no others.
+
+    Null texts and texts without a word stay as they are; repeated rows are cut
+    alike; columns of any name are kept.
+    """
+    x, y = docs.alias("x"), removed_lines(docs).alias("y")
     lines = F.filter(F.split("x.text", "\n"), lambda _, i: ~F.array_contains(F.col("y.removed"), i))
-    text = F.when(F.col("y.removed").isNull(), F.col("x.text")).otherwise(F.array_join(lines, "\n"))
-    rows = x.join(y, F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.__th") == F.col("y.th")), "left")
-    out = rows.select(*[text.alias(c) if c == "text" else F.col(f"x.`{c}`") for c in docs.columns], F.col("y.removed").alias("__removed"))
-    return out.where(F.col("__removed").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop("__removed")
+    left = F.array_join(lines, "\n")
+    same = F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.xxhash64(F.col("x.text").cast("string")) == F.col("y.th"))
+    rows = x.join(y, same, "left").where(F.col("y.removed").isNull() | left.rlike(r"[^\x20\x09-\x0D]"))
+    text = F.when(F.col("y.removed").isNull(), F.col("x.text")).otherwise(left)
+    return rows.select(*[text.alias(c) if c == "text" else F.col(f"x.`{c}`").alias(c) for c in docs.columns])

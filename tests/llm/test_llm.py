@@ -109,7 +109,7 @@ def test_line_dedup_equals_brute_force(spark, docs):
     for doc_id, t in rows:
         for k, line in enumerate((t or "").split("\n")):
             s = frozenset(line.lower().split())
-            if len(s) >= 5:
+            if s:
                 if any(10 * len(s & o) >= 9 * len(s | o) for o in seen):
                     want.setdefault(doc_id, []).append(k)
                 seen.append(s)
@@ -127,6 +127,30 @@ def test_line_dedup_of_few_words(spark):
     assert {r.doc_id: r.text for r in dedup_lines(docs).collect()} == {0: texts[0], 1: "\nfirst own line", 2: "\n \nx\nall rights", 3: texts[3]}
 
 
+def test_line_dedup_joins_beyond_the_broadcast(spark, docs, monkeypatch):
+    from talkgrid.llm import lines
+
+    want = {(r.doc_id, tuple(r.removed)) for r in lines.removed_lines(docs).collect()}
+    monkeypatch.setattr(lines, "BROADCAST_TEXTS", 0)
+    assert {(r.doc_id, tuple(r.removed)) for r in lines.removed_lines(docs).collect()} == want
+
+
+def test_line_dedup_of_whole_documents(spark):
+    from talkgrid.llm.lines import dedup_lines
+
+    rng = random.Random(5)
+    long_line = " ".join(rng.choice("abcdefgh") * rng.randrange(1, 9) + str(k) for k in range(20_000))
+    texts = [None, "", " \n ", f"{long_line}\nown", f"x y z\n{long_line} more", "own", "x y z\n\nlast one"]
+    rows = [(i, t, i, None) for i, t in enumerate(texts)] + [(4, texts[4], 4, None), (None, "null id first\nown", 9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, removed long, th string")
+    out = dedup_lines(docs)
+    assert out.columns == docs.columns
+    got = Counter((r.doc_id, r.text, r.removed, r.th) for r in out.collect())
+    want = [(0, None), (1, ""), (2, " \n "), (3, long_line), (4, "x y z"), (4, "x y z"), (6, "\nlast one"), (None, "null id first\nown")]
+    assert got == Counter((i, t, 9 if i is None else i, None) for i, t in want)
+    assert dedup_lines(docs.limit(0)).count() == 0
+
+
 def test_suffix_dedup_equals_brute_force(spark, docs, monkeypatch):
     from talkgrid.llm import suffix_dedup
 
