@@ -15,3 +15,11 @@ def in_small_batches(df: DataFrame) -> DataFrame:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BYTES)
     return df
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """name, or a longer one, that no column has in any case."""
+    held = {c.lower() for c in columns}
+    while name in held:
+        name += "_"
+    return name

@@ -18,15 +18,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkgrid.llm._arrow import in_small_batches
+from talkgrid.llm._arrow import in_small_batches, unused
 from talkgrid.llm._words import _LOWER, slices
 
 #: The model is fitted on about so many labelled documents of each language, chosen by a hash of doc_id.
 SAMPLE_PER_LANGUAGE = 2000
 BINS = 1 << 16
 SMOOTHING = 0.5
-ROUNDS = 6
-MOST_LANGUAGES = 4
+#: Rounds of a document go on until none of its proportions moves by more.
+STILL = 1e-3
 UNKNOWN = "und"
 _SPACE = np.uint32(32)
 
@@ -95,7 +95,7 @@ class Model:
             sub_at = np.concatenate([[0], np.cumsum(n)[:-1]])
             order = np.argsort(-shares[open_docs], axis=1, kind="stable")
             value = best[open_docs] - penalty[open_docs]
-            for k in range(2, min(MOST_LANGUAGES, languages) + 1):
+            for k in range(2, languages + 1):
                 inside = np.zeros((len(open_docs), languages), dtype=bool)
                 np.put_along_axis(inside, order[:, :k], True, axis=1)
                 part, ll = _em(likely[pick], sub_doc, sub_at, inside / k)
@@ -109,11 +109,20 @@ class Model:
 
 
 def _em(likely: np.ndarray, doc: np.ndarray, at: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    n = np.diff(np.append(at, len(doc)))[:, None]
-    for _ in range(ROUNDS):
-        parts = likely * shares[doc]
+    """Proportions of each document and the logarithm of its likelihood; documents that have converged leave the rounds."""
+    n = np.diff(np.append(at, len(doc)))
+    shares = shares.copy()
+    live, rows, own = np.arange(len(n)), likely, doc
+    while len(live):
+        parts = rows * shares[live][own]
         parts /= np.maximum(parts.sum(axis=1, keepdims=True), 1e-300)
-        shares = np.add.reduceat(parts, at, axis=0) / n
+        begins = np.concatenate([[0], np.cumsum(n[live])[:-1]])
+        now = np.add.reduceat(parts, begins, axis=0) / n[live][:, None]
+        moving = np.abs(now - shares[live]).max(axis=1) > STILL
+        shares[live] = now
+        stay = moving[own]
+        rows, live = rows[stay], live[moving]
+        own = np.repeat(np.arange(len(live)), n[live])
     total = np.log(np.maximum((likely * shares[doc]).sum(axis=1), 1e-300))
     return shares, np.add.reduceat(total, at)
 
@@ -140,18 +149,19 @@ def fit(docs: DataFrame, usable: Column | None = None) -> Model:
         lang, gram = np.nonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(gram), pa.array(held[lang, gram])], names=["l", "g", "n"])
 
-    # at most BINS rows for each language
+    # at most BINS rows for each language; languages are the values of a label
     summed = in_small_batches(sample).mapInArrow(run, "l long, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros((BINS, len(languages)))
     table[summed["g"].to_numpy(), summed["l"].to_numpy()] = summed["n"].to_numpy()
     return Model(languages, np.log((table + SMOOTHING) / (table.sum(axis=0) + SMOOTHING * BINS)))
 
 
-def _predict(model):
+def _predict(model, letters_at: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*model.value.languages, UNKNOWN], dtype=object)
         for batch in batches:
-            letters = np.array(batch.column(batch.num_columns - 1).fill_null(False))
+            flag = batch.schema.names.index(letters_at)
+            letters = np.array(batch.column(flag).fill_null(False))
             lang, score = np.full(batch.num_rows, len(names) - 1), np.zeros(batch.num_rows)
             for a, b, data, offsets in slices(batch.column(batch.schema.names.index("text"))) if len(names) > 1 else ():
                 shares = model.value.proportions(data, offsets)
@@ -159,7 +169,9 @@ def _predict(model):
                 score[a:b] = shares.max(axis=1)
             lang[~letters] = len(names) - 1
             score[~letters] = 0
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names[lang], pa.string()), pa.array(np.clip(score, 0, 1))], names=[*batch.schema.names[:-1], "lang_pred", "lang_score"])
+            kept = [(n, c) for k, (n, c) in enumerate(zip(batch.schema.names, batch.columns, strict=True)) if k != flag]
+            kept += [("lang_pred", pa.array(names[lang], pa.string())), ("lang_score", pa.array(np.clip(score, 0, 1)))]
+            yield pa.RecordBatch.from_arrays([c for _, c in kept], names=[n for n, _ in kept])
 
     return run
 
@@ -170,9 +182,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     Null texts and texts without a letter are UNKNOWN with score 0, as is every
     text when the model has no language; ties go to the first language by name;
     repeated rows are predicted alike; columns named lang_pred and lang_score
-    are replaced; an empty table gives no row.
+    are replaced, those of any other name are kept; an empty table gives no row.
     """
     own = docs.drop("lang_pred", "lang_score")
-    asked = own.withColumn("__letters", F.col("text").rlike(r"\p{L}"))
+    letters = unused("letters", own.columns)
+    asked = own.withColumn(letters, F.col("text").rlike(r"\p{L}"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields) + ", lang_pred string, lang_score double"
-    return in_small_batches(asked).mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), schema)
+    return in_small_batches(asked).mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model), letters), schema)
