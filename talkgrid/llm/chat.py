@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from talkgrid.llm._arrow import in_small_batches
 from talkgrid.session import durable
 
-#: Turn numbers in a block.
-BLOCK = 256
+#: Turn numbers in a block, and blocks of turns without a number.
+BLOCK, LOOSE = 256, 1 << 16
 START, SYSTEM, USER, ASSISTANT = range(4)
 ROLES = ("start", "system", "user", "assistant")
 LEGAL = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
@@ -109,6 +109,11 @@ def trace(roles: list[str | None], entry: int, leave: int) -> list[tuple[int, bo
     return out[::-1]
 
 
+def escaped(text: str | None) -> str:
+    """text without the markers: a backslash stands before each bar and backslash that follows a <, and taking it out again gives text."""
+    return (text or "").replace("<\\", "<\\\\").replace("<|", "<\\|")
+
+
 def render(turns: list[tuple[str | None, str | None]], entry: int, leave: int, last: bool) -> tuple:
     """The text of a block; a block that begins with a merge goes on with the message of the block before."""
     parts, merged_n, relabelled, inserted, messages, cost = [], 0, 0, 0, 0, 0
@@ -127,7 +132,7 @@ def render(turns: list[tuple[str | None, str | None]], entry: int, leave: int, l
             parts.append("\n\n")
         else:
             begin(state)
-        parts.append(text or "")
+        parts.append(escaped(text))
         merged_n += merged
         relabelled += role != ROLES[state]
         inserted += len(put)
@@ -178,7 +183,7 @@ def _ahead(batches):
         conv, costs = object(), None
         for batch in batches:
             for conv_id, part, m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if conv_id != conv:
+                if conv_id != conv or conv_id is None:
                     conv, costs = conv_id, [0, FAR, FAR, FAR]
                 yield conv_id, part, m, costs
                 costs = [min(FAR, *(costs[a] + m[4 * a + b] for a in range(4))) for b in range(4)]
@@ -193,7 +198,7 @@ def _back(batches):
         conv, leave = object(), None
         for batch in batches:
             for conv_id, part, m, costs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                last = conv_id != conv
+                last = conv_id != conv or conv_id is None
                 if last:
                     conv = conv_id
                     leave = min((1, 2, 3), key=lambda b: min(costs[a] + m[4 * a + b] for a in range(4)) + END[b])
@@ -217,12 +222,18 @@ def repair(turns: DataFrame) -> DataFrame:
     The parts of a conversation, joined in order, are its whole text. Turns go by
     turn, then role, then text, nulls first; repeated turns are turns of their
     own and merge; a null or unknown role may become any; a null text is empty;
-    rows with a null conv_id are one conversation; a null turn comes first; other
-    columns are ignored; an empty table gives no row.
+    a text that holds a marker is escaped; null turns come first, ordered by a
+    hash of their text in LOOSE parts and then as others; of the rows with a null
+    conv_id nothing says that they belong together, so those of each role and
+    text are a conversation of their own, told apart by part; other columns are
+    ignored; an empty table gives no row.
     """
+    hashed = F.xxhash64(F.lower(F.col("role").cast("string")), F.col("text").cast("string"))
+    turn = F.col("turn").cast("long")
+    part = F.when(F.col("conv_id").isNull(), hashed).when(turn.isNull(), F.lit(-(1 << 62)) + F.pmod(hashed, F.lit(LOOSE))).otherwise(F.floor(turn / BLOCK))
     rows = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"),
-        F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62))).cast("long").alias("part"),
+        part.cast("long").alias("part"),
         F.col("turn").cast("long").alias("turn"),
         F.lower(F.col("role").cast("string")).alias("role"),
         F.col("text").cast("string").alias("text"),
@@ -230,8 +241,9 @@ def repair(turns: DataFrame) -> DataFrame:
     order = ["conv_id", "part", "turn", "role", "text"]
     dealt = in_small_batches(rows.drop("text")).repartition("conv_id", "part").sortWithinPartitions(*order[:-1])
     blocks = durable(dealt.select("conv_id", "part", "role").mapInArrow(_matrices, "conv_id long, part long, m array<long>"))
-    ahead = durable(blocks.repartition("conv_id").sortWithinPartitions("conv_id", "part").mapInArrow(_ahead, "conv_id long, part long, m array<long>, costs array<long>"))
-    states = durable(ahead.repartition("conv_id").sortWithinPartitions("conv_id", F.desc("part")).mapInArrow(_back, "conv_id long, part long, entry long, leave long, last boolean"))
+    alone = F.when(F.col("conv_id").isNull(), F.col("part"))
+    ahead = durable(blocks.repartition("conv_id", alone).sortWithinPartitions("conv_id", "part").mapInArrow(_ahead, "conv_id long, part long, m array<long>, costs array<long>"))
+    states = durable(ahead.repartition("conv_id", alone).sortWithinPartitions("conv_id", F.desc("part")).mapInArrow(_back, "conv_id long, part long, entry long, leave long, last boolean"))
     x, y = rows.alias("x"), states.alias("y")
     joined = x.join(y, F.col("x.conv_id").eqNullSafe(F.col("y.conv_id")) & (F.col("x.part") == F.col("y.part"))).select("x.*", "entry", "leave", "last")
     return joined.repartition("conv_id", "part").sortWithinPartitions(*order).select("conv_id", "part", "role", "text", "entry", "leave", "last").mapInArrow(_rendered, MESSAGES)
