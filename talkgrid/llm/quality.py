@@ -22,8 +22,8 @@ from talkgrid.session import durable
 RISK, ERROR = 0.02, 0.05
 #: A share of the good documents that is lost weighs as much as so large a share of the bad ones that is caught.
 GOOD_WEIGHT = 5
-#: Statistics are compared in thousandths, up to this many.
-MOST = 20_000
+#: Statistics are compared in thousandths, beyond so many of them in steps of a thousandth of their size.
+FINE = 20_000
 WINDOW = 5
 #: Tables of cutoffs up to so many rows are broadcast; larger ones are joined.
 BROADCAST_ROWS = 10_000
@@ -62,9 +62,9 @@ def _repeat_words(words: Column) -> Column:
 
 
 def statistics(docs: DataFrame, stratum: str = "lang") -> DataFrame:
-    """doc_id, stratum and the counts of each row of docs; null texts have no words."""
+    """doc_id, stratum and the counts of each row of docs; null texts have no words; a null stratum stays null."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), text.alias("t"))
+    rows = docs.select(F.col("doc_id"), F.col(stratum).cast("string").alias("stratum"), text.alias("t"))
     rows = rows.withColumn("words", F.filter(F.split("t", _SPACE_RUN), lambda w: w != "")).withColumn(
         "lines", F.filter(F.split("t", "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
     )
@@ -81,7 +81,9 @@ def statistics(docs: DataFrame, stratum: str = "lang") -> DataFrame:
 
 
 def _thousandths(top: str, bottom: str) -> Column:
-    return F.least(F.lit(MOST), F.floor(1000 * F.col(top) / F.greatest(F.col(bottom), F.lit(1)))).cast("int")
+    v = F.floor(1000 * F.col(top) / F.greatest(F.col(bottom), F.lit(1))).cast("long")
+    step = F.pow(F.lit(10.0), F.floor(F.log10(F.greatest(v, F.lit(1)))) - 3).cast("long")
+    return F.when(v <= FINE, v).otherwise(v - v % F.greatest(step, F.lit(1)))
 
 
 #: Rules by name: a statistic that is larger for worse documents.
@@ -115,19 +117,23 @@ def allowed_rejections(n: Column, risk: float, error: Column) -> Column:
 def cutoffs(stats: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
     """stratum, rule, n (good labelled documents), allowed, cutoff; one row for each that can be controlled."""
     judged = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q"))
-    held = stats.where(~F.col("base_failed")).join(judged, "doc_id")
-    values = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), v().alias("value")) for k, v in RULES.items()]))
+    # a labelled document counts once a stratum, however often its row is repeated; of different rows the worst values count
+    values = {k: F.max(v()).alias(k) for k, v in RULES.items()}
+    held = stats.where(~F.col("base_failed")).join(judged, "doc_id").groupBy("stratum", "doc_id", "q").agg(*values.values())
+    values = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(k).alias("value")) for k in RULES]))
     counts = held.select("stratum", "q", values.alias("v")).groupBy("stratum", "v.rule", "v.value")
     counts = durable(counts.agg(F.count_if(F.col("q") == 1).alias("good"), F.count_if(F.col("q") != 1).alias("bad")))
     totals = counts.groupBy("stratum", "rule").agg(F.sum("good").alias("n"), F.sum("bad").alias("n_bad"))
     strata = max(1, totals.select("stratum").distinct().count())
     each = totals.withColumn("allowed", allowed_rejections(F.col("n"), risk / len(RULES), F.lit(error / len(RULES) / strata)))
-    # at most MOST + 1 rows for each stratum and rule
+    # at most FINE rows and 9,000 for each power of ten beyond, for each stratum and rule
     above = Window.partitionBy("stratum", "rule").orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, -1)
     ranked = counts.select("stratum", "rule", "value", *[F.coalesce(F.sum(k).over(above), F.lit(0)).alias(k) for k in ("good", "bad")])
     gain = F.col("bad") / F.greatest("n_bad", F.lit(1)) - GOOD_WEIGHT * F.col("good") / F.greatest("n", F.lit(1))
+    r, e = ranked.alias("r"), each.where("allowed >= 0").alias("e")
     return (
-        ranked.join(each.where("allowed >= 0"), ["stratum", "rule"])
+        r.join(e, F.col("r.stratum").eqNullSafe(F.col("e.stratum")) & (F.col("r.rule") == F.col("e.rule")))
+        .select("r.*", "n", "n_bad", "allowed")
         .where("good <= allowed")
         .withColumn("gain", gain)
         .where("gain > 0")
@@ -140,16 +146,18 @@ def filter_quality(docs: DataFrame, labels: DataFrame, stratum: str = "lang") ->
     """One row per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, failed_rules.
 
     Null texts have no words and fail; a null stratum is one of its own;
-    repeated rows are judged alike; labels of one document count once, and as
-    good only if all are; other columns are ignored; without labels only the
-    base rules reject; an empty table gives no row.
+    repeated rows are judged alike and count once where cutoffs are chosen;
+    labels of one document count once, and as good only if all are; other
+    columns are ignored; without labels only the base rules reject; an empty
+    table gives no row.
     """
     stats = durable(statistics(docs, stratum))
     limits = durable(cutoffs(stats, labels).groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("limits")))
     if limits.count() <= BROADCAST_ROWS:
         limits = F.broadcast(limits)
     over = F.array_compact(F.array(*[F.when(v() > F.col("limits")[k], F.lit(k)) for k, v in RULES.items()]))
-    return stats.join(limits, "stratum", "left").select(
+    x, y = stats.alias("x"), limits.alias("y")
+    return x.join(y, F.col("x.stratum").eqNullSafe(F.col("y.stratum")), "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.size(over) == 0)).alias("kept"),
         over.alias("failed_rules"),
