@@ -93,13 +93,6 @@ def choices_at(words: DataFrame, turns: DataFrame) -> DataFrame:
     return points.select("recording_id", "ord").join(chosen, ["recording_id", "ord"], "left")
 
 
-def sentence_continues(left: Column, right: Column) -> Column:
-    """The last word of left does not end a sentence and the first letter of right's first word is lower."""
-    core = F.regexp_replace(F.element_at(F.split(F.trim(left), r"\s+"), -1), r"""["')\]} ]+$""", "")
-    letter = F.regexp_extract(F.element_at(F.split(F.trim(right), r"\s+"), 1), r"\p{L}", 0)
-    return F.coalesce((core != "") & ~core.rlike("[.!?]$") & letter.rlike(r"^\p{Ll}$"), F.lit(False))
-
-
 def differences(expected: DataFrame, actual: DataFrame, key: str, value: str) -> DataFrame:
     """key and status (missing, unexpected, changed) of rows that are not alike in both tables; keys are unique."""
     x, y = expected.select(key, F.col(value).alias("x"), F.lit(True).alias("in_x")), actual.select(key, F.col(value).alias("y"), F.lit(True).alias("in_y"))

@@ -2,80 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from talkgrid.functions import text as T
 from talkgrid.operators import attribution as W
 from talkgrid.operators import intervals as I
-from talkgrid.operators import sessions as S
 from talkgrid.operators import vectors as V
+from talkgrid.plans import sessions  # noqa: F401  registers its queries
+from talkgrid.plans.registry import ORACLES, QUERIES, query
 from talkgrid.sources import adapters as A
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def keep(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return keep
-
-
-_TURNS_SQL = f"""WITH RECURSIVE {A.SEGMENTS_SQL},
-fold AS (
-  SELECT recording_id, seg_ord, start, "end", speaker, text, 0 AS grp, start AS t0 FROM segments WHERE seg_ord = 1
-  UNION ALL
-  SELECT s.recording_id, s.seg_ord, s.start, s."end", s.speaker, s.text,
-    CASE WHEN s.speaker = f.speaker AND s.start - f."end" <= 1.25 AND s."end" - f.t0 <= 30.0 THEN f.grp ELSE f.grp + 1 END,
-    CASE WHEN s.speaker = f.speaker AND s.start - f."end" <= 1.25 AND s."end" - f.t0 <= 30.0 THEN f.t0 ELSE s.start END
-  FROM fold f JOIN segments s ON s.recording_id = f.recording_id AND s.seg_ord = f.seg_ord + 1),
-turns0 AS (SELECT recording_id, grp AS turn_ord, arg_min(start, seg_ord) AS start, arg_max("end", seg_ord) AS "end", any_value(speaker) AS speaker,
-  count(*) AS n_segments, string_agg(text, ' ' ORDER BY seg_ord) AS text FROM fold GROUP BY 1, 2),
-turns AS (SELECT *, coalesce(greatest(0.0::DOUBLE, start - max("end") OVER (PARTITION BY recording_id ORDER BY turn_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 0.0::DOUBLE) AS pause_before,
-  printf('turn-%06d', turn_ord) AS turn_id FROM turns0)
-"""
-
-
-@query("turns_build", _TURNS_SQL + "SELECT * FROM turns")
-def turns_build(spark, d):
-    return S.build_turns(A.segments(spark, d))
-
-
-@query(
-    "paragraphs_build",
-    _TURNS_SQL
-    + """, w AS (SELECT *, len(regexp_split_to_array(text, '\\s+')) AS words FROM turns),
-pf AS (SELECT recording_id, turn_ord, speaker, words, 0 AS grp, words AS total FROM w WHERE turn_ord = 0
-  UNION ALL SELECT w.recording_id, w.turn_ord, w.speaker, w.words,
-    CASE WHEN w.speaker = p.speaker AND w.pause_before < 2.0 AND p.total + w.words <= 250 THEN p.grp ELSE p.grp + 1 END,
-    CASE WHEN w.speaker = p.speaker AND w.pause_before < 2.0 AND p.total + w.words <= 250 THEN p.total + w.words ELSE w.words END
-  FROM pf p JOIN w ON w.recording_id = p.recording_id AND w.turn_ord = p.turn_ord + 1)
-SELECT recording_id, grp AS paragraph, any_value(speaker) AS speaker, min(turn_ord) AS first_turn, max(turn_ord) AS last_turn, sum(words)::BIGINT AS words FROM pf GROUP BY 1, 2""",
-)
-def paragraphs_build(spark, d):
-    return S.build_paragraphs(S.build_turns(A.segments(spark, d)))
-
-
-@query(
-    "speaker_runs",
-    f"""WITH {A.SEGMENTS_SQL},
-a AS (SELECT *, CASE WHEN lag(speaker) OVER w = speaker THEN 0 ELSE 1 END AS c FROM segments WINDOW w AS (PARTITION BY recording_id ORDER BY seg_ord)),
-b AS (SELECT *, sum(c) OVER (PARTITION BY recording_id ORDER BY seg_ord) AS island FROM a),
-e AS (SELECT *, CASE WHEN start - max("end") OVER (PARTITION BY recording_id, island ORDER BY seg_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 0.45 THEN 0 ELSE 1 END AS n FROM b),
-r AS (SELECT *, sum(n) OVER (PARTITION BY recording_id ORDER BY seg_ord)::BIGINT AS run FROM e)
-SELECT recording_id, run, any_value(speaker) AS speaker, min(start) AS start, max("end") AS "end", count(*) AS n_rows FROM r GROUP BY 1, 2""",
-)
-def speaker_runs(spark, d):
-    return S.speaker_runs(A.segments(spark, d), "seg_ord")
-
+__all__ = ["ORACLES", "QUERIES"]
 
 _MERGED = """m0 AS (SELECT *, CASE WHEN start - max("end") OVER (PARTITION BY recording_id, speaker ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= {gap} THEN 0 ELSE 1 END AS n FROM timeline WHERE "end" > start),
 m1 AS (SELECT *, sum(n) OVER (PARTITION BY recording_id, speaker ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM m0),
@@ -188,9 +126,19 @@ def sentence_ends(spark, d):
     return A.segments(spark, d).groupBy("recording_id").agg(F.count_if(T.ends_sentence(F.col("text"))).alias("ended"), F.count("*").alias("n"))
 
 
-@query("speaker_label", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN printf('SPEAKER_%02d', (user_id % 7)::INT) ELSE 'SORTFORMER_' || upper(regexp_replace(event_type, '[^A-Za-z0-9]+', '_', 'g')) END AS label FROM events")
+@query(
+    "speaker_label",
+    """WITH raw AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'spk-' || (user_id % 7)::VARCHAR WHEN 1 THEN '---' WHEN 2 THEN 'x' || '0012345678901' || (user_id % 10)::VARCHAR WHEN 3 THEN '_' || event_type || '!' ELSE event_type END AS l FROM events),
+d AS (SELECT event_id, l, regexp_extract(l, '[0-9]+$') AS n, upper(trim(regexp_replace(l, '[^A-Za-z0-9]+', '_', 'g'), '_')) AS safe FROM raw)
+SELECT event_id, CASE WHEN n <> '' THEN 'SPEAKER_' || CASE WHEN n::HUGEINT < 10 THEN '0' ELSE '' END || n::HUGEINT::VARCHAR ELSE 'SORTFORMER_' || CASE WHEN safe = '' THEN 'UNKNOWN' ELSE safe END END AS label FROM d""",
+)
 def speaker_label(spark, d):
-    raw = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("spk-"), (F.col("user_id") % 7).cast("string"))).otherwise(F.col("event_type"))
+    user = lambda k: (F.col("user_id") % k).cast("string")
+    kind = F.col("event_id") % 5
+    raw = (
+        F.when(kind == 0, F.concat(F.lit("spk-"), user(7))).when(kind == 1, F.lit("---")).when(kind == 2, F.concat(F.lit("x0012345678901"), user(10)))
+        .when(kind == 3, F.concat(F.lit("_"), "event_type", F.lit("!"))).otherwise(F.col("event_type"))
+    )
     return A.table(spark, d, "events").select("event_id", T.speaker_label(raw).alias("label"))
 
 
@@ -284,7 +232,7 @@ SELECT recording_id, seg_ord, coalesce(core <> '' AND NOT regexp_matches(core, '
 def sentence_continues(spark, d):
     before = F.lag("text").over(Window.partitionBy("recording_id").orderBy("seg_ord"))
     rows = A.segments(spark, d).withColumn("prior", before)
-    return rows.select("recording_id", "seg_ord", W.sentence_continues(F.col("prior"), F.col("text")).alias("goes_on"))
+    return rows.select("recording_id", "seg_ord", T.sentence_continues(F.col("prior"), F.col("text")).alias("goes_on"))
 
 
 @query(
