@@ -42,10 +42,14 @@ def solo(timeline: DataFrame) -> DataFrame:
 
 
 def exclusive(timeline: DataFrame) -> DataFrame:
-    """What of each row no other speaker overlaps, trimmed, long enough, and merged by speaker; n_rows pieces each."""
+    """What of each row no other speaker overlaps, trimmed, long enough, and merged by speaker; n_rows different pieces each."""
     rows = in_ms(timeline).select("recording_id", "speaker", "start", "end")
     pairs = I.interval_join(rows, solo(rows), "recording_id", WIDTH_MS).where("speaker = r_speaker")
-    pieces = pairs.select("recording_id", "speaker", (F.greatest("start", "r_start") + TRIM_MS).alias("start"), (F.least("end", "r_end") - TRIM_MS).alias("end"))
+    alone = pairs.select("recording_id", "speaker", F.greatest("start", "r_start").alias("s"), F.least("end", "r_end").alias("e")).distinct().withColumn("part", F.col("s"))
+    # an empty row of another speaker cuts, too
+    points = rows.where("start = end").select("recording_id", "speaker", F.col("start").alias("s"), F.col("end").alias("e"))
+    cut = I.subtract(alone.withColumn("until", F.col("e")), points, ["recording_id", "speaker", "part", "until"], apart="speaker")
+    pieces = cut.select("recording_id", "speaker", (F.col("s") + TRIM_MS).alias("start"), (F.col("e") - TRIM_MS).alias("end"))
     return I.merge(pieces.where(F.col("end") - F.col("start") >= LEAST_MS), ["recording_id", "speaker"], JOIN_MS)
 
 

@@ -6,29 +6,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-TRIM, LEAST_EXCLUSIVE = 0.08, 0.5
+#: Milliseconds of a join bucket.
+BUCKET = 60_000
 
 
-def overlap_seconds(a_start, a_end, b_start, b_end) -> Column:
-    return F.greatest(F.lit(0.0), F.least(a_end, b_end) - F.greatest(a_start, b_start))
-
-
-def interval_join(left: DataFrame, right: DataFrame, key: str, width: float, how: str = "inner") -> DataFrame:
+def interval_join(left: DataFrame, right: DataFrame, key: str, width: float, how: str = "inner", start: str = "start", end: str = "end") -> DataFrame:
     """left x right where keys are equal and the intervals overlap strictly; columns of right get the prefix r_.
 
-    Both sides are dealt into buckets of width seconds, so the join is an
-    equi-join on (key, bucket) even where one recording is long, and a pair is
-    kept only in the bucket of the later start.
+    Both sides are dealt into buckets of width, so the join is an equi-join on
+    (key, bucket) even where one recording is long, and a pair is kept only in
+    the bucket of the later start. With how="left" a row without a partner stays,
+    with nulls; repeated rows and rows with nulls are rows of their own.
     """
-    numbered = left.withColumn("__id", F.monotonically_increasing_id()) if how == "left" else left
-    spread = lambda d, s, e: d.withColumn("bucket", F.explode(F.sequence(F.floor(F.col(s) / width), F.floor(F.greatest(s, e) / width))))
+    spread = lambda d, s, e: d.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col(s) / width), F.floor(F.greatest(s, e) / width))))
+    r_start, r_end = f"r_{start}", f"r_{end}"
     b = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
-    x, y = spread(left, "start", "end"), spread(b, "r_start", "r_end").withColumnRenamed("bucket", "r_bucket")
-    on = (x[key] == y[f"r_{key}"]) & (x.bucket == y.r_bucket) & (y.r_end > x.start) & (y.r_start < x.end) & (x.bucket == F.floor(F.greatest(x.start, y.r_start) / width))
-    inner = x.join(y, on).drop("bucket", "r_bucket")
+    x, y = spread(left, start, end), spread(b, r_start, r_end).withColumnRenamed("__bucket", "__r_bucket")
+    on = (x[key] == y[f"r_{key}"]) & (x["__bucket"] == y["__r_bucket"]) & (y[r_end] > x[start]) & (y[r_start] < x[end])
+    inner = x.join(y, on & (x["__bucket"] == F.floor(F.greatest(x[start], y[r_start]) / width))).drop("__bucket", "__r_bucket")
     if how == "inner":
         return inner
-    return left.join(inner, left.columns, "left").drop("__id") if numbered is not None else inner
+    # by the values of the row, nulls too; partners are counted with the rows that they belong to
+    alike = None
+    met = inner.select(*[F.col(c).alias(f"__{c}") for c in left.columns]).distinct()
+    for c in left.columns:
+        test = F.col(c).eqNullSafe(F.col(f"__{c}"))
+        alike = test if alike is None else alike & test
+    alone = left.join(met, alike, "left_anti")
+    return inner.unionByName(alone, allowMissingColumns=True)
+
+
+def ms_join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """interval_join() of rows(recording_id, s, e, ...) in milliseconds."""
+    return interval_join(left, right, "recording_id", BUCKET, how, "s", "e")
 
 
 def overlap_events(timeline: DataFrame, width: float = 60.0) -> DataFrame:
@@ -48,14 +58,14 @@ def overlapping_pairs(timeline: DataFrame, least: float = 0.25) -> DataFrame:
     return e.groupBy("recording_id", *pair).agg(ms.alias("overlap_ms")).where(F.col("overlap_ms") >= least * 1000)
 
 
-def merge(intervals: DataFrame, keys: list[str], gap: float = 0.0) -> DataFrame:
+def merge(intervals: DataFrame, keys: list[str], gap: float = 0.0, start: str = "start", end: str = "end") -> DataFrame:
     """Union of the non-empty intervals of each key; neighbours within gap are one."""
-    w = Window.partitionBy(*keys).orderBy("start", "end")
-    rows = intervals.where(F.col("end") > F.col("start"))
-    prior = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.coalesce((F.col("start") - prior > gap).cast("int"), F.lit(1))
-    islands = rows.withColumn("n", new).withColumn("island", F.sum("n").over(w))
-    return islands.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_rows")).drop("island")
+    w = Window.partitionBy(*keys).orderBy(start, end)
+    rows = intervals.where(F.col(end) > F.col(start))
+    prior = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.coalesce((F.col(start) - prior > gap).cast("int"), F.lit(1))
+    islands = rows.withColumn("__new", new).withColumn("__island", F.sum("__new").over(w))
+    return islands.groupBy(*keys, "__island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n_rows")).drop("__island")
 
 
 def gaps(intervals: DataFrame, keys: list[str]) -> DataFrame:
@@ -64,10 +74,176 @@ def gaps(intervals: DataFrame, keys: list[str]) -> DataFrame:
     return merge(intervals, keys).select(*keys, F.col("end").alias("start"), F.lead("start").over(w).alias("end")).where("end is not null")
 
 
-def fixed_windows(spans: DataFrame, trim: float = 0.1, least: float = 0.8, step: float = 6.0) -> DataFrame:
-    """Windows of at most step seconds over trimmed spans, while at least least seconds are left."""
-    rows = spans.withColumn("a", F.col("start") + trim).withColumn("b", F.col("end") - trim).where(F.col("b") - F.col("a") >= least)
-    count = F.ceil((F.col("b") - F.col("a") - least + 1e-6) / step).cast("int")
-    w = rows.withColumn("win", F.explode(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0)))))
-    begin = F.col("a") + F.col("win") * step
-    return w.withColumn("w_start", begin).withColumn("w_end", F.least(begin + step, F.col("b"))).where(F.col("w_end") - F.col("w_start") >= least - 1e-6).drop("a", "b")
+def coalesce_runs(timeline: DataFrame, gap: int = 120) -> DataFrame:
+    """Rows in order of ord; one of the same speaker that begins at most gap after the end of the row before goes on with its interval.
+
+    The interval ends where its last row does, even if an earlier one ended later.
+    """
+    w = Window.partitionBy("recording_id").orderBy("ord")
+    joins = (F.lag("speaker").over(w) == F.col("speaker")) & (F.col("s") - F.lag("e").over(w) <= gap)
+    rows = timeline.withColumn("n", F.when(joins, 0).otherwise(1)).withColumn("island", F.sum("n").over(w))
+    return rows.groupBy("recording_id", "island").agg(
+        F.first("speaker").alias("speaker"), F.min_by("s", "ord").alias("s"), F.max_by("e", "ord").alias("e"), F.count("*").alias("n_rows")
+    ).drop("island")
+
+
+def subtract(intervals: DataFrame, blockers: DataFrame, keys: list[str], apart: str | None = None) -> DataFrame:
+    """What of each interval(keys, recording_id, s, e) no blocker(recording_id, s, e) covers, a row for each piece; an empty blocker inside splits.
+
+    keys tell the intervals apart. Only blockers count whose value of apart, one
+    of the keys, is another. The blockers of an interval are swept in order of
+    their start, so none is compared with another.
+    """
+    met = ms_join(intervals.select(*keys, "s", "e"), blockers.select("recording_id", "s", "e", *([apart] if apart else [])))
+    if apart:
+        met = met.where(F.col(apart) != F.col(f"r_{apart}"))
+    cut = met.select(*keys, "s", "e", F.greatest("r_s", "s").alias("b"), F.least("r_e", "e").alias("f"))
+    edges = cut.unionByName(intervals.select(*keys, "s", "e", F.col("e").alias("b"), F.col("e").alias("f")))
+    before = Window.partitionBy(*keys).orderBy("b", "f").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = edges.withColumn("a", F.coalesce(F.max("f").over(before), F.col("s")))
+    return pieces.where("b > a").select(*keys, F.col("a").alias("s"), F.col("b").alias("e"))
+
+
+def intersect(left: DataFrame, right: DataFrame, gap: int = 80) -> DataFrame:
+    """Common parts of two lists of disjoint intervals of a recording, merged over gaps of at most gap."""
+    met = ms_join(left.select("recording_id", "s", "e"), right.select("recording_id", "s", "e"))
+    return merge(met.select("recording_id", F.greatest("s", "r_s").alias("s"), F.least("e", "r_e").alias("e")), ["recording_id"], gap, "s", "e")
+
+
+def covered(rows: DataFrame, intervals: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and covered, the milliseconds that intervals(recording_id, s, e) overlap each row, 0 without any."""
+    met = ms_join(rows.select(*keys, "s", "e"), intervals.select("recording_id", "s", "e"))
+    sums = met.groupBy(*keys).agg(F.sum(F.least("e", "r_e") - F.greatest("s", "r_s")).alias("covered"))
+    return rows.select(*keys).join(sums, keys, "left").select(*keys, F.coalesce("covered", F.lit(0)).alias("covered"))
+
+
+def overlap_regions(timeline: DataFrame, gap: int = 20) -> DataFrame:
+    """Where two different known speakers are active at once, merged over gaps of at most gap; n_rows pairs each."""
+    rows = timeline.where(~F.coalesce("speaker", F.lit("")).isin("", "SPEAKER_UNKNOWN"))
+    rows = rows.select("recording_id", "ord", "speaker", F.greatest("s", F.lit(0)).alias("s"), F.greatest("e", F.lit(0)).alias("e")).where("e > s")
+    pairs = ms_join(rows, rows).where("ord < r_ord and speaker <> r_speaker")
+    return merge(pairs.select("recording_id", F.greatest("s", "r_s").alias("s"), F.least("e", "r_e").alias("e")), ["recording_id"], gap, "s", "e")
+
+
+def relabel(timeline: DataFrame, corrections: DataFrame, gap: int = 20) -> DataFrame:
+    """timeline(recording_id, ord, s, e, speaker) with corrections(recording_id, s, e, original, refined) made.
+
+    Corrections of a recording are disjoint. Where a row of the original speaker
+    overlaps one, that part gets the refined speaker and the rest stays. Pieces
+    by time of one speaker after another, at most gap apart, are merged.
+    """
+    rows = timeline.select("recording_id", "ord", "s", F.greatest("s", "e").alias("e"), F.coalesce("speaker", F.lit("SPEAKER_UNKNOWN")).alias("speaker"))
+    met = ms_join(rows, corrections).where("speaker = r_original")
+    changed = met.select("recording_id", "ord", F.greatest("s", "r_s").alias("s"), F.least("e", "r_e").alias("e"), F.col("r_refined").alias("speaker"))
+    pieces = subtract_own(rows, changed).unionByName(changed)
+    order = Window.partitionBy("recording_id").orderBy("s", "e", "ord")
+    kept = pieces.where("e > s").withColumn("c", F.coalesce((F.lag("speaker").over(order) != F.col("speaker")).cast("int"), F.lit(1)))
+    kept = kept.withColumn("island", F.sum("c").over(order))
+    prior = F.max("e").over(Window.partitionBy("recording_id", "island").orderBy("s", "e", "ord").rowsBetween(Window.unboundedPreceding, -1))
+    groups = kept.withColumn("n", F.coalesce((F.col("s") - prior > gap).cast("int"), F.lit(1))).withColumn("grp", F.sum("n").over(order))
+    return groups.groupBy("recording_id", "grp").agg(F.first("speaker").alias("speaker"), F.min("s").alias("s"), F.max("e").alias("e"), F.count("*").alias("n_pieces")).drop("grp")
+
+
+def subtract_own(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """rows(recording_id, ord, s, e, speaker) without their own disjoint parts(recording_id, ord, s, e), by the same ord."""
+    edges = parts.select("recording_id", "ord", F.col("s").alias("b"), F.col("e").alias("f"))
+    ends = rows.select("recording_id", "ord", F.col("e").alias("b"), F.col("e").alias("f"))
+    before = Window.partitionBy("recording_id", "ord").orderBy("b", "f")
+    both = edges.union(ends).withColumn("a", F.lag("f").over(before))
+    pieces = both.join(rows.select("recording_id", "ord", "s", "speaker"), ["recording_id", "ord"])
+    return pieces.select("recording_id", "ord", F.coalesce("a", "s").alias("s"), F.col("b").alias("e"), "speaker").where("e > s")
+
+
+def split_at(rows: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
+    """rows(recording_id, local, s, e, keys) cut at all starts and ends of spans(recording_id, local, s, e) inside them."""
+    cuts = spans.select("recording_id", "local", F.explode(F.array("s", "e")).alias("t")).distinct()
+    points = cuts.select("recording_id", F.col("t").alias("s"), (F.col("t") + 1).alias("e"), F.col("local").alias("own"), "t")
+    inside = ms_join(rows.select(*keys, "local", "s", "e"), points).where("local = r_own and s < r_t and r_t < e")
+    bounds = inside.select(*keys, "local", F.col("r_t").alias("t")).unionByName(rows.select(*keys, "local", F.col("s").alias("t"))).unionByName(rows.select(*keys, "local", F.col("e").alias("t"))).distinct()
+    after = F.lead("t").over(Window.partitionBy(*keys, "local").orderBy("t"))
+    return bounds.select(*keys, "local", F.col("t").alias("s"), after.alias("e")).where("e is not null")
+
+
+def fixed_windows(spans: DataFrame, keys: list[str], trim: int = 100, least: int = 800, step: int = 6000, most: int = 64) -> DataFrame:
+    """Windows of at most step over trimmed spans(keys, s, e), while least is left; of more than most of a key, most evenly spaced ones.
+
+    win is the window's number in its key, from 0, before any are left out.
+    """
+    rows = spans.withColumn("a", F.col("s") + trim).withColumn("b", F.col("e") - trim).where(F.col("b") - F.col("a") >= least)
+    begin = F.explode(F.sequence(F.col("a"), F.col("b") - least, F.lit(step).cast("long"))).alias("w_s")
+    cut = rows.select(*keys, "b", begin).select(*keys, "w_s", F.least(F.col("w_s") + step, "b").alias("w_e"))
+    order = Window.partitionBy(*keys).orderBy("w_s", "w_e")
+    numbered = cut.withColumn("win", (F.row_number().over(order) - 1).cast("long")).withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
+    return numbered.where((F.col("n") <= most) | even_pick(F.col("win"), F.col("n"), most)).drop("n")
+
+
+def even_pick(i: Column, n: Column, k: int) -> Column:
+    """i is one of the k whole parts of evenly spaced places from 0 to n - 1."""
+    # the place with number j is floor(j (n - 1) / (k - 1)), so the least j that reaches i decides
+    j = F.ceil(i * (k - 1) / (n - 1))
+    return (j <= k - 1) & (F.floor(j * (n - 1) / (k - 1)) == i)
+
+
+def equal_parts(totals: DataFrame, keys: list[str], most: int = 12, each: int = 2000, longest: int = 6000) -> DataFrame:
+    """Windows over a key's total milliseconds laid end to end: part, offset and length; one for each full each, at least 1 and at most most."""
+    n = F.least(F.lit(most), F.greatest(F.lit(1), F.floor(F.col("total") / each))).cast("int")
+    rows = totals.where("total >= 1000").withColumn("n", n).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    share = F.col("total") / F.col("n")
+    return rows.select(*keys, F.col("part").cast("long").alias("part"), (F.col("part") * share).alias("offset"), F.least(F.lit(float(longest)), share).alias("length"))
+
+
+def virtual_slices(intervals: DataFrame, slices: DataFrame, keys: list[str]) -> DataFrame:
+    """Where slices(keys, part, offset, length) of intervals(keys, s, e) laid end to end lie: part, s and e of each source span."""
+    order = Window.partitionBy(*keys).orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
+    laid = intervals.withColumn("v", F.coalesce(F.sum(F.col("e") - F.col("s")).over(order), F.lit(0)))
+    laid = laid.select(*keys, F.col("s").alias("i_s"), "v", (F.col("v") + F.col("e") - F.col("s")).alias("v_e"))
+    met = laid.join(slices, keys).withColumn("a", F.greatest("v", "offset")).withColumn("b", F.least("v_e", F.col("offset") + F.col("length"))).where("b > a")
+    return met.select(*keys, "part", (F.col("i_s") + F.col("a") - F.col("v")).alias("s"), (F.col("i_s") + F.col("b") - F.col("v")).alias("e"))
+
+
+def nearest(rows: DataFrame, labelled: DataFrame, keys: list[str]) -> DataFrame:
+    """rows(keys, ord, s) with the label of the labelled(keys, ord, s, label) of nearest start, of equally near ones the first.
+
+    Both are swept together by start, so only the neighbours of a row on either
+    side are candidates; of rows with one start the first counts.
+    """
+    first = labelled.groupBy(*keys, "s").agg(F.min(F.struct("ord", "label")).alias("x"))
+    both = first.select(*keys, "s", F.struct("s", "x").alias("hit"), F.lit(None).cast("long").alias("ord"))
+    both = both.unionByName(rows.select(*keys, "s", F.col("ord")).withColumn("hit", F.lit(None).cast(both.schema["hit"].dataType)))
+    w = Window.partitionBy(*keys).orderBy("s").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    back = Window.partitionBy(*keys).orderBy("s").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    seen = both.withColumn("l", F.max("hit").over(w)).withColumn("r", F.min("hit").over(back)).where("ord is not null")
+    left, right = F.col("s") - F.col("l.s"), F.col("r.s") - F.col("s")
+    takes_left = F.col("r").isNull() | (left < right) | ((left == right) & (F.col("l.x.ord") < F.col("r.x.ord")))
+    label = F.when(F.col("l").isNotNull() & F.coalesce(takes_left, F.lit(True)), F.col("l.x.label")).otherwise(F.col("r.x.label"))
+    return seen.select(*keys, "ord", label.alias("label"))
+
+
+def turn_overlaps(turns: DataFrame) -> DataFrame:
+    """Overlaps of turns(recording_id, turn_ord, s, e, speaker) of different speakers, in both directions.
+
+    The turns after a turn are looked through in order up to the first that
+    begins at or after its end; later ones do not count even if they overlap.
+    """
+    rows = turns.select("recording_id", "turn_ord", "s", "e", "speaker")
+    pairs = ms_join(rows, rows).where("turn_ord < r_turn_ord and speaker <> r_speaker")
+    # a turn between the two, by number, at which the search ends
+    between = rows.select("recording_id", F.col("turn_ord").alias("s"), (F.col("turn_ord") + 1).alias("e"), F.col("s").alias("k_s"))
+    spans = pairs.select("recording_id", F.col("turn_ord").alias("s"), F.col("r_turn_ord").alias("e"), F.col("e").alias("until"))
+    ended = ms_join(spans, between).where("r_s > s and r_k_s >= until").select("recording_id", F.col("s").alias("turn_ord"), F.col("e").alias("r_turn_ord")).distinct()
+    kept = pairs.join(ended, ["recording_id", "turn_ord", "r_turn_ord"], "left_anti")
+    s, e = F.greatest("s", "r_s").alias("s"), F.least("e", "r_e").alias("e")
+    one = kept.select("recording_id", "turn_ord", F.col("r_turn_ord").alias("other_ord"), F.col("r_speaker").alias("other"), s, e, F.lit(True).alias("earlier"))
+    two = kept.select("recording_id", F.col("r_turn_ord").alias("turn_ord"), F.col("turn_ord").alias("other_ord"), F.col("speaker").alias("other"), s, e, F.lit(False).alias("earlier"))
+    return one.union(two)
+
+
+def raw_overlaps(timeline: DataFrame) -> DataFrame:
+    """Overlaps of two rows(recording_id, ord, s, e, speaker) of different speakers, once each, without repeats."""
+    rows = timeline.select("recording_id", "ord", "s", "e", "speaker")
+    pairs = ms_join(rows, rows).where("ord < r_ord and speaker <> r_speaker")
+    first = (F.col("s") < F.col("r_s")) | ((F.col("s") == F.col("r_s")) & (F.col("ord") < F.col("r_ord")))
+    return pairs.select(
+        "recording_id", F.greatest("s", "r_s").alias("s"), F.least("e", "r_e").alias("e"),
+        F.when(first, F.col("speaker")).otherwise(F.col("r_speaker")).alias("speaker"), F.when(first, F.col("r_speaker")).otherwise(F.col("speaker")).alias("other"),
+    ).distinct()

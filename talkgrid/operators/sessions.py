@@ -70,15 +70,26 @@ def normalize_words(words: DataFrame, segments: DataFrame) -> DataFrame:
     )
 
 
+def word_runs(words: DataFrame) -> DataFrame:
+    """Normalized words with run, the number from 0 of their run of one (speaker, local speaker) in the segment."""
+    w = Window.partitionBy("recording_id", "seg_ord").orderBy("word_ord")
+    key = F.struct("speaker", "local_speaker")
+    return words.withColumn("c", F.coalesce((F.lag(key).over(w) != key).cast("long"), F.lit(0))).withColumn("run", F.sum("c").over(w)).drop("c")
+
+
+def turn_words(words: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Normalized words with turn_ord, the turn that their piece of a segment is in."""
+    turns = turn_numbers(pieces).select("recording_id", "seg_ord", "run", F.col("grp").alias("turn_ord"))
+    return word_runs(words).join(turns, ["recording_id", "seg_ord", "run"])
+
+
 def split_segments(words: DataFrame, segments: DataFrame) -> DataFrame:
     """One row for each run of words of one (speaker, local speaker) in a segment, or for the whole segment if it has one such pair.
 
     words are normalized. Missing times come from the timed words; no end is
     before its start; a blank segment gives no row; ids count in order.
     """
-    w = Window.partitionBy("recording_id", "seg_ord").orderBy("word_ord")
-    key = F.struct("speaker", "local_speaker")
-    runs = words.withColumn("c", F.coalesce((F.lag(key).over(w) != key).cast("long"), F.lit(0))).withColumn("run", F.sum("c").over(w))
+    runs = word_runs(words)
     ends = lambda f, c: F.get(F.transform(F.filter(f("ws"), lambda x: x[c].isNotNull()), lambda x: x[c]), F.lit(0))
     same, back = (lambda c: F.col(c)), (lambda c: F.reverse(F.col(c)))
     grouped = runs.groupBy("recording_id", "seg_ord", "run").agg(
@@ -108,6 +119,7 @@ def split_segments(words: DataFrame, segments: DataFrame) -> DataFrame:
         "recording_id",
         (F.row_number().over(order) - 1).cast("long").alias("ord"),
         "seg_ord",
+        F.coalesce("run", F.lit(0).cast("long")).alias("run"),
         start.alias("s"),
         F.greatest(start, F.coalesce(end, start)).alias("e"),
         F.coalesce("w_speaker", seg_speaker).alias("speaker"),

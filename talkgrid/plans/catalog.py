@@ -9,7 +9,7 @@ from talkgrid.functions import text as T
 from talkgrid.operators import attribution as W
 from talkgrid.operators import intervals as I
 from talkgrid.operators import vectors as V
-from talkgrid.plans import sessions  # noqa: F401  registers its queries
+from talkgrid.plans import ranges, sessions  # noqa: F401  register their queries
 from talkgrid.plans.registry import ORACLES, QUERIES, query
 from talkgrid.sources import adapters as A
 
@@ -25,11 +25,6 @@ def interval_merge(spark, d):
     return I.merge(A.timeline(spark, d), ["recording_id", "speaker"])
 
 
-@query("timeline_coalesce", f"WITH {A.TIMELINE_SQL}, {_MERGED.format(gap=0.12)} SELECT * FROM merged")
-def timeline_coalesce(spark, d):
-    return I.merge(A.timeline(spark, d), ["recording_id", "speaker"], 0.12)
-
-
 @query(
     "interval_gaps",
     f"""WITH {A.TIMELINE_SQL}, {_MERGED.format(gap=0.0)},
@@ -175,15 +170,16 @@ SELECT recording_id, speaker, min(s) AS start, max(e) AS "end", count(*) AS n_ro
 
 @query(
     "exclusive_intervals",
-    f"""WITH {A.TIMELINE_SQL}, {_TM},
-edges AS (SELECT a.recording_id, a.ord, a.speaker, a.s, greatest(b.s, a.s) AS bs, least(b.e, a.e) AS be FROM tm a JOIN tm b ON a.recording_id = b.recording_id AND a.speaker <> b.speaker AND b.e > a.s AND b.s < a.e AND b.e > b.s
+    f"""WITH {A.TIMELINE_SQL}, {_TM.replace('AS e FROM timeline', 'AS e0 FROM timeline').replace('tm AS', 'tm0 AS')}, tm AS (SELECT *, CASE WHEN ord % 13 = 0 THEN s ELSE e0 END AS e FROM tm0),
+edges AS (SELECT a.recording_id, a.ord, a.speaker, a.s, greatest(b.s, a.s) AS bs, least(b.e, a.e) AS be FROM tm a JOIN tm b ON a.recording_id = b.recording_id AND a.speaker <> b.speaker AND b.e > a.s AND b.s < a.e
   UNION ALL SELECT recording_id, ord, speaker, s, e, e FROM tm),
 g AS (SELECT *, coalesce(max(be) OVER (PARTITION BY recording_id, ord ORDER BY bs, be ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), s) AS gs FROM edges),
-p AS (SELECT recording_id, speaker, gs + 80 AS s, bs - 80 AS e FROM g WHERE bs - gs >= 660),
+p AS (SELECT DISTINCT recording_id, speaker, gs + 80 AS s, bs - 80 AS e FROM g WHERE bs - gs >= 660),
 {_NEAR.format(gap=80)}""",
 )
 def exclusive_intervals(spark, d):
-    return W.exclusive(A.timeline(spark, d))
+    t = A.timeline(spark, d)
+    return W.exclusive(t.withColumn("end", F.when(F.col("ord") % 13 == 0, F.col("start")).otherwise(F.col("end"))))
 
 
 @query(

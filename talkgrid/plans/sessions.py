@@ -28,7 +28,7 @@ k2 AS (SELECT recording_id, seg_ord, run, any_value(speaker) AS wsp, any_value(l
 k3 AS (SELECT g.*, run, wsp, wl, n_words, wt, ls, le, li, kinds, count(run) OVER (PARTITION BY g.recording_id, g.seg_ord) > 1 AS many FROM good g LEFT JOIN k2 USING (recording_id, seg_ord)),
 k4 AS (SELECT *, coalesce(CASE WHEN many THEN ls[1] ELSE s END, list_filter(ls, lambda x: x IS NOT NULL)[1], 0) AS s1,
   coalesce(CASE WHEN many THEN le[len(le)] ELSE e END, list_reverse(list_filter(le, lambda x: x IS NOT NULL))[1]) AS e1 FROM k3),
-pieces AS (SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY seg_ord, run) - 1 AS ord, seg_ord, s1 AS s, greatest(s1, coalesce(e1, s1)) AS e,
+pieces AS (SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY seg_ord, run) - 1 AS ord, seg_ord, coalesce(run, 0) AS run, s1 AS s, greatest(s1, coalesce(e1, s1)) AS e,
   coalesce(wsp, ss) AS speaker, coalesce(wl, sl) AS local_speaker,
   CASE WHEN kinds = 1 THEN coalesce(li[1], identity) WHEN len(list_filter(li, lambda i: i LIKE 'unresolved%')) > 0 THEN list_filter(li, lambda i: i LIKE 'unresolved%')[1]
     WHEN list_contains(li, 'human_verified') THEN 'partially_reviewed' ELSE identity END AS identity,
