@@ -9,7 +9,7 @@ from talkgrid.functions import text as T
 from talkgrid.operators import attribution as W
 from talkgrid.operators import intervals as I
 from talkgrid.operators import vectors as V
-from talkgrid.plans import ranges, sessions  # noqa: F401  register their queries
+from talkgrid.plans import ranges, rules, sessions, transcripts  # noqa: F401  register their queries
 from talkgrid.plans.registry import ORACLES, QUERIES, query
 from talkgrid.sources import adapters as A
 
@@ -95,19 +95,6 @@ def timestamp_format(spark, d):
 _SRT = "printf('%02d:%02d:%02d,%03d', {0} // 3600000, {0} // 60000 % 60, {0} // 1000 % 60, {0} % 1000)"
 
 
-@query(
-    "render_srt",
-    f"""WITH {A.SEGMENTS_SQL}, t AS (SELECT *, round_even(start * 1000, 0)::BIGINT AS a, round_even("end" * 1000, 0)::BIGINT AS b FROM segments),
-c AS (SELECT recording_id, seg_ord, seg_ord::VARCHAR || chr(10) || {_SRT.format("a")} || ' --> ' || {_SRT.format("b")} || chr(10) || '[' || speaker || '] ' || text AS cue FROM t)
-SELECT recording_id, string_agg(cue, chr(10) || chr(10) ORDER BY seg_ord) || chr(10) AS srt FROM c GROUP BY 1""",
-)
-def render_srt(spark, d):
-    s = A.segments(spark, d)
-    cue = F.concat(F.col("seg_ord").cast("string"), F.lit("\n"), T.timestamp_text(F.col("start"), ","), F.lit(" --> "), T.timestamp_text(F.col("end"), ","), F.lit("\n["), "speaker", F.lit("] "), "text")
-    cues = F.transform(F.array_sort(F.collect_list(F.struct("seg_ord", cue.alias("cue")))), lambda x: x["cue"])
-    return s.groupBy("recording_id").agg(F.concat(F.array_join(cues, "\n\n"), F.lit("\n")).alias("srt"))
-
-
 @query("html_escape", "SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS escaped FROM pages")
 def html_escape(spark, d):
     return A.table(spark, d, "pages").select("page_id", T.html_escape(F.col("html")).alias("escaped"))
@@ -239,21 +226,3 @@ FROM customer FULL JOIN supplier ON c_custkey = s_suppkey) WHERE status IS NOT N
 def set_differences(spark, d):
     side = lambda name, p, k: A.table(spark, d, name).select(F.col(f"{p}_{k}").alias("key"), F.col(f"{p}_nationkey").alias("value"))
     return W.differences(side("customer", "c", "custkey"), side("supplier", "s", "suppkey"), "key", "value")
-
-
-_ESCAPED = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
-_VTT = _SRT.replace(",%03d", ".%03d")
-
-
-@query(
-    "render_vtt",
-    f"""WITH {A.SEGMENTS_SQL}, t AS (SELECT *, round_even(start * 1000, 0)::BIGINT AS a, round_even("end" * 1000, 0)::BIGINT AS b FROM segments),
-c AS (SELECT recording_id, seg_ord, {_VTT.format("a")} || ' --> ' || {_VTT.format("b")} || chr(10) || '<v ' || {_ESCAPED.format("speaker")} || '>' || {_ESCAPED.format("text")} || '</v>' AS cue FROM t)
-SELECT recording_id, 'WEBVTT' || chr(10) || chr(10) || string_agg(cue, chr(10) || chr(10) ORDER BY seg_ord) || chr(10) AS vtt FROM c GROUP BY 1""",
-)
-def render_vtt(spark, d):
-    s = A.segments(spark, d)
-    speaker, text = T.html_escape(F.col("speaker")), T.html_escape(F.col("text"))
-    cue = F.concat(T.timestamp_text(F.col("start")), F.lit(" --> "), T.timestamp_text(F.col("end")), F.lit("\n<v "), speaker, F.lit(">"), text, F.lit("</v>"))
-    cues = F.transform(F.array_sort(F.collect_list(F.struct("seg_ord", cue.alias("cue")))), lambda x: x["cue"])
-    return s.groupBy("recording_id").agg(F.concat(F.lit("WEBVTT\n\n"), F.array_join(cues, "\n\n"), F.lit("\n")).alias("vtt"))

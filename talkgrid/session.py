@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +19,7 @@ def build_session(cores: int = 8, app: str = "talkgrid", **conf: str) -> SparkSe
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("TALKGRID_DRIVER_MEMORY", "12g"))
@@ -28,11 +32,20 @@ def build_session(cores: int = 8, app: str = "talkgrid", **conf: str) -> SparkSe
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or a local one where that is unset (tests, a single machine)."""
+    """The folder in spark.checkpoint.dir, or a temporary one where that is unset and all runs in one process (tests, a single machine).
+
+    On a cluster without the setting it is an error, as executors see no folder of the driver's own.
+    """
     context = spark.sparkContext
     held = context._jsc.sc().getCheckpointDir()
     if held.isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="talkgrid-ckpt-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            named = tempfile.mkdtemp(prefix="talkgrid-ckpt-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)
         held = context._jsc.sc().getCheckpointDir()
     return held.get()
 

@@ -14,7 +14,7 @@ from talkgrid.sources import adapters as A
 _TIMED = "(word_ord * 7 + seg_ord) % 23 <> 0"
 WORD = {
     "s": f"CASE WHEN {_TIMED} THEN s0 + 400 * word_ord END",
-    "e": f"CASE WHEN {_TIMED} THEN s0 + 400 * word_ord + CASE WHEN (word_ord + seg_ord) % 31 = 0 THEN 0 ELSE 250 + (word_ord * 37 + seg_ord * 11) % 200 END END",
+    "e": f"CASE WHEN {_TIMED} THEN s0 + 400 * word_ord + CASE WHEN (word_ord + seg_ord) % 31 = 0 THEN 0 ELSE 250 + (word_ord * 37 + seg_ord * 11) % 200 + CASE WHEN (word_ord * 3 + seg_ord) % 61 = 5 THEN 1700 ELSE 0 END END END",
     "score": "CASE WHEN (word_ord + seg_ord) % 10 = 9 THEN NULL ELSE (word_ord * 13 + recording_id) % 100 END",
     "speaker": "CASE WHEN (word_ord + seg_ord) % 11 = 0 THEN NULL WHEN (word_ord + 3 * seg_ord) % 17 IN (3, 4) THEN 'SPK_X' ELSE role END",
     "local_speaker": "CASE WHEN (word_ord + 2 * seg_ord) % 13 = 0 THEN NULL ELSE 'L_' || role END",
@@ -40,6 +40,40 @@ DIAGNOSTIC = {
 }
 
 
+#: The recognizer's own time of a word, where it is paired with one.
+PAIR = {
+    "p_s": "CASE WHEN (word_ord + seg_ord) % 3 <> 0 THEN s + (word_ord * 53 + seg_ord * 17) % 1000 - 100 END",
+    "p_e": "CASE WHEN (word_ord + seg_ord) % 3 <> 0 THEN e + (word_ord * 31 + seg_ord * 7) % 900 - 50 END",
+    "p_diag": "CASE WHEN (word_ord + seg_ord) % 3 <> 0 THEN seg_ord END",
+}
+#: What a refinement has found about a piece.
+CANDIDATE = {
+    "decision": "CASE WHEN ord % 4 = 0 THEN 'abstained_sortformer_disagreement' WHEN ord % 4 = 1 THEN 'abstained_below_confidence_threshold' WHEN ord % 4 = 2 THEN 'abstained_candidate_voice_ambiguous' ELSE 'corrected' END",
+    "strategy": "CASE WHEN ord % 3 = 0 THEN 'bracketed_utterance' ELSE 'word_run' END",
+    "seam": "ord % 5 = 0",
+}
+#: Evidence windows of a piece, and measured features of a turn: level and change in hundredths of dB, pitch variation in thousandths.
+WINDOW = {"retained": "ord % 4 <> 0", "disagreement": "ord % 5 = 0", "agreement": "ord % 10 = 0", "suggested": "CASE WHEN ord % 6 = 1 THEN 'user' WHEN ord % 6 = 2 THEN 'assistant' END"}
+FEATURE = {"level": "-((turn_ord * 1370 + recording_id * 91) % 4100)", "change": "(turn_ord * 211) % 1500 - 700", "pitch": "CASE WHEN turn_ord % 7 = 0 THEN NULL ELSE (turn_ord * 53) % 400 END"}
+#: Tone scores in thousandths of a window that begins at w_s, the best first.
+_P = "(500 + (turn_ord * 37 + w_s * 3) % 500)"
+_LABELS = ("angry", "happy", "sad", "neutral", "unknown")
+_LABEL = lambda k: "CASE (turn_ord * 3 + w_s + {}) % 5 ".format(k) + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_LABELS)) + " END"
+TONE = {
+    "l0": _LABEL(0), "p0": _P, "l1": _LABEL(1), "p1": f"(1000 - {_P}) - (1000 - {_P}) % 7", "l2": _LABEL(2), "p2": f"(1000 - {_P}) % 7",
+    "confirmed": "(turn_ord + w_s) % 4 <> 0", "eligible": "turn_ord % 6 <> 5", "model": "CASE WHEN turn_ord % 9 = 0 THEN 'other' ELSE 'emotion2vec/emotion2vec_plus_large' END",
+}
+
+
+def made(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """df with made-up columns."""
+    return df.select("*", *[F.expr(e).alias(n) for n, e in columns.items()])
+
+
+def made_sql(columns: dict[str, str]) -> str:
+    return _select(columns)
+
+
 def _ms(spark: SparkSession, sf_dir: str) -> DataFrame:
     ms = lambda c: F.round(F.col(c) * 1000).cast("long")
     return A.segments(spark, sf_dir).select("recording_id", F.col("seg_ord").cast("long").alias("seg_ord"), ms("start").alias("s0"), ms("end").alias("e0"), F.col("speaker").alias("role"), "text")
