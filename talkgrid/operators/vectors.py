@@ -1,4 +1,9 @@
-"""Vector similarity: normalisation, cosine, centroids, candidates and consensus."""
+"""Vector similarity: normalisation, cosine, centroids, reference conditions, consensus, candidates and medoids.
+
+Vectors are array<double>; those of observations are stored normalised, to
+seven places. Scores are compared after rounding to four places where a rule
+says so.
+"""
 
 from __future__ import annotations
 
@@ -6,33 +11,173 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SUGGEST, LEAD = 0.80, 0.20
+#: A best candidate is suggested from so high a similarity on (a child's higher), if it leads the next by LEAD.
+SUGGEST, SUGGEST_CHILD, LEAD = 0.80, 0.85, 0.20
+#: A match needs so high a similarity (a child's higher) and so much margin.
+MATCH, MATCH_CHILD, MARGIN = 0.70, 0.78, 0.15
+#: Seconds of a long clip and of a usable one; short ones count in so many, of so many seconds, so alike.
+LONG, USABLE, SHORT_CLIPS, SHORT_SECONDS, SHORT_ALIKE = 2.5, 0.8, 5, 8.0, 0.70
+#: References up to so many rows are sent to all tasks; more are met in blocks.
+BROADCAST_ROWS, BLOCKS = 2000, 16
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
+def _bind(value: Column, use) -> Column:
+    """use(value) with value evaluated once a row."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def normalize(v: Column | str) -> Column:
-    norm = F.sqrt(dot(v, v))
-    return F.element_at(F.transform(F.array(norm), lambda n: F.transform(v, lambda x: F.floor(x / n * 1e7 + 0.5) / 1e7)), 1)
+    """v over its length, each part to seven places; an empty or zero vector is an error."""
+    v = F.col(v) if isinstance(v, str) else v
+    unit = lambda n: F.transform(v, lambda x: F.floor(x / n * 1e7 + 0.5) / 1e7)
+    return F.when(v.isNotNull(), _bind(F.sqrt(dot(v, v)), lambda n: F.when(n > 0, unit(n)).otherwise(F.raise_error(F.lit("a vector must not be empty or zero")).cast("array<double>"))))
+
+
+def similarity(a: Column | str, b: Column | str) -> Column:
+    """Cosine of normalised vectors; different lengths are an error."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    return F.when(F.size(a) == F.size(b), dot(a, b)).otherwise(F.raise_error(F.lit("vectors differ in length")).cast("double"))
+
+
+def cosine(a: Column | str, b: Column | str) -> Column:
+    """Plain cosine, 0 where a vector has no length."""
+    lengths = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when(lengths > 0, dot(a, b) / lengths).otherwise(0.0)
+
+
+def rounded(x: Column, places: int = 4) -> Column:
+    scale = 10.0**places
+    return F.floor(x * scale + 0.5) / scale
 
 
-def centroids(rows: DataFrame, keys: list[str], vector: str = "unit") -> DataFrame:
-    """Normalised mean of the vectors of each key, and how many there are."""
-    parts = rows.select(*keys, F.posexplode(vector).alias("pos", "x")).groupBy(*keys, "pos").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
-    lists = parts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("mean"), F.max("n").alias("n_vectors"))
+def centroids(rows: DataFrame, keys: list[str], vector: str = "unit", weight: str | None = None) -> DataFrame:
+    """Normalised mean of the vectors of each key, and how many there are.
+
+    With weight they count by it, negative weights as 0; where none is positive
+    they count alike.
+    """
+    w = F.greatest(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(1.0)
+    parts = rows.select(*keys, w.alias("__w"), F.posexplode(vector).alias("__pos", "__x")).groupBy(*keys, "__pos")
+    parts = parts.agg(F.sum(F.col("__x") * F.col("__w")).alias("sum"), F.sum("__w").alias("w"), F.avg("__x").alias("plain"), F.count("*").alias("n"))
+    mean = F.when(F.col("w") > 0, F.col("sum") / F.col("w")).otherwise(F.col("plain")) if weight else F.col("plain")
+    lists = parts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__pos", mean.alias("__m")))), lambda p: p["__m"]).alias("mean"), F.max("n").alias("n_vectors"))
     return lists.select(*keys, "n_vectors", normalize("mean").alias("centroid"))
 
 
-def candidates(queries: DataFrame, profiles: DataFrame, k: int = 3) -> DataFrame:
-    """The k nearest profiles of each query by cosine, ties by voice, and whether the best is suggested.
+def reference_conditions(observations: DataFrame) -> DataFrame:
+    """voice, session, kind, members and centroid: what of a voice's verified observations(voice, session, ord, clean_seconds, verified, unit) supports it in a session.
+
+    Two long clips are a condition; so are enough short ones that are alike, as
+    the two centroids of every other one.
+    """
+    good = observations.where(f"verified and clean_seconds >= {USABLE}")
+    key = ["voice", "session"]
+    long = good.where(f"clean_seconds >= {LONG}")
+    members = long.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "unit"))), lambda x: x["unit"]).alias("members"), F.count("*").alias("n")).where("n >= 2")
+    of_long = members.join(centroids(long, key), key).select(*key, F.lit("long").alias("kind"), "members", "centroid")
+    short = good.where(f"clean_seconds < {LONG}").withColumn("pool", (F.row_number().over(Window.partitionBy(*key).orderBy("ord")) - 1) % 2)
+    whole = centroids(short, key)
+    alike = short.join(whole, key).groupBy(*key).agg(F.count("*").alias("n"), F.sum("clean_seconds").alias("seconds"), F.min(similarity("unit", "centroid")).alias("least"))
+    # a sum of tenths may fall short of its bound by the last bit
+    enough = alike.where((F.col("n") >= SHORT_CLIPS) & (F.col("seconds") >= SHORT_SECONDS - 1e-9) & (F.col("least") >= SHORT_ALIKE)).select(*key)
+    pools = centroids(short.join(enough, key, "left_semi"), [*key, "pool"]).select(*key, "pool", F.col("centroid").alias("unit"))
+    both = pools.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pool", "unit"))), lambda x: x["unit"]).alias("members"))
+    of_short = both.join(centroids(pools, key), key).select(*key, F.lit("short").alias("kind"), "members", "centroid")
+    return of_long.unionByName(of_short)
+
+
+def against_all(queries: DataFrame, references: DataFrame) -> DataFrame:
+    """Each query row with each reference row.
 
-    profiles is the registry of known voices, a table of one row a voice.
+    References of a checked size are sent to all tasks; otherwise both sides are
+    dealt by a block of the references.
     """
-    scored = queries.join(profiles.select(F.col("voice").alias("candidate"), "centroid"), F.lit(True)).select(
-        "vec_id", "candidate", (F.floor(dot("unit", "centroid") * 1e6 + 0.5) / 1e6).alias("similarity")
-    )
-    w = Window.partitionBy("vec_id").orderBy(F.desc("similarity"), "candidate")
-    ranked = scored.withColumn("rank", F.row_number().over(w)).withColumn("lead", F.col("similarity") - F.lead("similarity").over(w))
-    return ranked.where(F.col("rank") <= k).withColumn("suggested", (F.col("rank") == 1) & (F.col("similarity") >= SUGGEST) & (F.coalesce("lead", F.lit(2.0)) >= LEAD)).drop("lead")
+    if references.count() <= BROADCAST_ROWS:
+        return queries.crossJoin(F.broadcast(references))
+    block = F.pmod(F.xxhash64(*references.columns), F.lit(BLOCKS))
+    return queries.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long")))).join(references.withColumn("__block", block), "__block").drop("__block")
+
+
+def consensus(queries: DataFrame, conditions: DataFrame, apart: str | None = None) -> DataFrame:
+    """query, voice and score: the best over a voice's conditions of the lesser of the similarity to the centroid and that to the second nearest member.
+
+    queries(query, vector, ...). With apart, a column of both, conditions of the
+    query's own value do not count.
+    """
+    refs = conditions.select("voice", F.col("members"), F.col("centroid"), *([F.col(apart).alias("__own")] if apart else []))
+    met = against_all(queries.select("query", "vector", *([apart] if apart else [])), refs)
+    if apart:
+        met = met.where(F.col(apart) != F.col("__own"))
+    support = F.sort_array(F.transform("members", lambda m: dot("vector", m)), asc=False)
+    return met.groupBy("query", "voice").agg(F.max(F.least(dot("vector", "centroid"), F.get(support, F.lit(1)))).alias("score"))
+
+
+def suggestions(scores: DataFrame, profiles: DataFrame, k: int = 3) -> DataFrame:
+    """query, rank, voice, similarity and suggested of the k best scores that are not negative, equal ones by voice. profiles(voice, role)."""
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "voice")
+    best = scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).where("score >= 0")
+    best = best.withColumn("similarity", rounded(F.col("score"))).withColumn("next", F.lead("similarity").over(Window.partitionBy("query").orderBy("rank"))).join(profiles, "voice", "left")
+    enough = F.col("similarity") >= F.when(F.col("role") == "child", SUGGEST_CHILD).otherwise(SUGGEST)
+    lead = F.col("similarity") - F.coalesce("next", F.lit(-1.0)) >= LEAD
+    return best.select("query", F.col("rank").cast("long").alias("rank"), "voice", "similarity", ((F.col("rank") == 1) & enough & lead).alias("suggested"))
+
+
+def winners(scores: DataFrame, descending: bool = False) -> DataFrame:
+    """query, voice, score and margin over the next (over -1 without one) of the best score; of equal ones the first voice, or the last if descending."""
+    order = [F.desc("score"), F.desc("voice") if descending else F.col("voice")]
+    w = Window.partitionBy("query").orderBy(*order)
+    top = scores.withColumn("rank", F.row_number().over(w)).where("rank <= 2")
+    rows = top.withColumn("next", F.lead("score").over(Window.partitionBy("query").orderBy("rank"))).where("rank = 1")
+    return rows.select("query", "voice", "score", (F.col("score") - F.coalesce("next", F.lit(-1.0))).alias("margin"))
+
+
+def medoid_evidence(windows: DataFrame, keys: list[str], keep: float = 0.45) -> DataFrame:
+    """windows(keys, ord, unit, disputed) with agreement, their similarity to the key's medoid, and retained.
+
+    The medoid is the undisputed window (any, if all are disputed) with the
+    highest median similarity to those like it, the first of equal ones. A key
+    has a bounded number of windows.
+    """
+    cols = ["ord", "unit", "disputed"]
+    all_disputed = F.min(F.col("disputed").cast("int")).over(Window.partitionBy(*keys)) == 1
+    rows = windows.select(*keys, *cols, (~F.col("disputed") | all_disputed).alias("counts"))
+    other = rows.select(*keys, *[F.col(c).alias(f"o_{c}") for c in (*cols, "counts")])
+    medians = rows.where("counts").join(other.where("o_counts"), keys).groupBy(*keys, "ord").agg(F.percentile(rounded(dot("unit", "o_unit"), 6), 0.5).alias("m"))
+    chosen = medians.groupBy(*keys).agg(F.min(F.struct((-F.col("m")).alias("less"), "ord"))["ord"].alias("medoid"))
+    centre = rows.join(chosen, keys).where("ord = medoid").select(*keys, F.col("unit").alias("centre"), "medoid")
+    out = rows.join(centre, keys).withColumn("agreement", rounded(dot("unit", "centre"), 6))
+    return out.select(*keys, "ord", "unit", "disputed", "medoid", "agreement", ((F.col("agreement") >= keep) & ~F.col("disputed")).alias("retained"))
+
+
+def trimmed_centroids(rows: DataFrame, keys: list[str], share: float = 0.2) -> DataFrame:
+    """Centroid, number and median similarity of each key; of four or more vectors those below the share's quantile are left out, unless fewer than two stay."""
+    first = centroids(rows, keys)
+    near = rows.join(first.withColumnRenamed("centroid", "c0"), keys).withColumn("sim", rounded(dot("unit", "c0"), 6))
+    cut = near.groupBy(*keys).agg(F.percentile("sim", share).alias("cut"))
+    kept = near.join(cut, keys).withColumn("keep", (F.col("n_vectors") < 4) | (F.col("sim") >= F.col("cut")))
+    kept = kept.withColumn("keep", F.col("keep") | (F.count_if("keep").over(Window.partitionBy(*keys)) < 2)).where("keep")
+    again = centroids(kept.drop("n_vectors"), keys)
+    sims = kept.drop("n_vectors").join(again, keys).groupBy(*keys).agg(F.percentile(rounded(dot("unit", "centroid"), 6), 0.5).alias("cohesion"))
+    return again.join(sims, keys)
+
+
+def nearest_centroid(rows: DataFrame, anchors: DataFrame, key: str) -> DataFrame:
+    """rows(key, ord, unit, ...) with cluster, that of the anchors(key, cluster, unit) whose centroid is nearest, the first of equal ones."""
+    centres = centroids(anchors, [key, "cluster"]).select(key, "cluster", "centroid")
+    met = rows.select(key, "ord", "unit").join(centres, key)
+    best = met.groupBy(key, "ord").agg(F.min(F.struct((-rounded(dot("unit", "centroid"), 9)).alias("less"), "cluster"))["cluster"].alias("cluster"))
+    return rows.select(key, "ord").join(best, [key, "ord"])
+
+
+def eligible(purpose: str, seconds: str = "clean_seconds", windows: str = "window_count", cohesion: str = "cohesion") -> Column:
+    """Whether evidence is enough to enroll, update, match or merge a voice; spoken words count where their timing is known."""
+    least = {"enroll": (12.0, 3, 3, 1.0), "update": (4.0, 2, 2, 0.5), "match": (2.0, 1, 1, 0.2), "merge": (2.0, 2, None, None)}[purpose]
+    enough = (F.col(seconds) >= least[0]) & (F.col(windows) >= least[1]) & (F.col(cohesion) >= 0.40)
+    if least[2] is None:
+        return F.coalesce(enough, F.lit(False))
+    spoken = (F.coalesce("recognized_words", F.lit(0)) >= least[2]) & (F.coalesce("recognized_seconds", F.lit(0.0)) >= least[3])
+    return F.coalesce(enough & (~F.coalesce("word_timing", F.lit(False)) | spoken), F.lit(False))

@@ -8,8 +8,7 @@ from pyspark.sql.window import Window
 from talkgrid.functions import text as T
 from talkgrid.operators import attribution as W
 from talkgrid.operators import intervals as I
-from talkgrid.operators import vectors as V
-from talkgrid.plans import ranges, rules, sessions, transcripts  # noqa: F401  register their queries
+from talkgrid.plans import ranges, rules, sessions, state, transcripts, voices  # noqa: F401  register their queries
 from talkgrid.plans.registry import ORACLES, QUERIES, query
 from talkgrid.sources import adapters as A
 
@@ -64,28 +63,6 @@ def overlap_matrix(spark, d):
     return pairs.groupBy("recording_id", "speaker", F.col("r_secondary").alias("secondary")).agg(F.sum(ms).alias("overlap_ms"))
 
 
-@query("vector_normalize", f"WITH {A.WINDOWS_SQL}, u AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x / sqrt(list_dot_product(embedding, embedding)) * 1e7 + 0.5) / 1e7) AS unit FROM windows) SELECT vec_id, round(list_sum(unit), 4) AS total FROM u")
-def vector_normalize(spark, d):
-    total = F.aggregate("unit", F.lit(0.0), lambda a, x: a + x)
-    return A.windows(spark, d).select("vec_id", V.normalize("embedding").alias("unit")).select("vec_id", F.round(total, 4).alias("total"))
-
-
-@query("nearest_profiles")
-def nearest_profiles(spark, d):
-    w = A.windows(spark, d).withColumn("unit", V.normalize("embedding"))
-    return V.candidates(w.where("not verified"), F.broadcast(V.centroids(w.where("verified"), ["voice"])))
-
-
-@query("profile_catalog", f"WITH {A.WINDOWS_SQL} SELECT voice, count(*) FILTER (WHERE verified) AS verified_windows, count(DISTINCT session) FILTER (WHERE verified) AS sessions, sum(CASE WHEN verified THEN round(clean_seconds * 10)::BIGINT ELSE 0 END)::BIGINT AS tenths FROM windows GROUP BY voice")
-def profile_catalog(spark, d):
-    w = A.windows(spark, d)
-    return w.groupBy("voice").agg(
-        F.count_if("verified").alias("verified_windows"),
-        F.count_distinct(F.when(F.col("verified"), F.col("session"))).alias("sessions"),
-        F.sum(F.when(F.col("verified"), F.round(F.col("clean_seconds") * 10).cast("long")).otherwise(0)).alias("tenths"),
-    )
-
-
 @query("timestamp_format", f"""WITH {A.SEGMENTS_SQL}, t AS (SELECT recording_id, seg_ord, round_even(start * 1000, 0)::BIGINT AS ms FROM segments)
 SELECT recording_id, seg_ord, printf('%02d:%02d:%02d,%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) AS t FROM t""")
 def timestamp_format(spark, d):
