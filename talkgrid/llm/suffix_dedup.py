@@ -334,12 +334,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows = in_small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th")))
     anchors = durable(rows.where(F.octet_length("text") >= WIDTH).mapInArrow(_anchors, ANCHORS))
     # counted before anything is joined, so that copies meet in sums only; what is joined by a key can be split
-    counts = durable(anchors.groupBy("g", "e").agg(F.count("*").alias("n")))
-    undecided = counts.groupBy("g").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("g")
-    settled = anchors.join(counts.where("n > 1").select("g", "e"), ["g", "e"]).select("doc_id", "th", (F.col("p") - F.col("high")).alias("a"), (F.col("p") - F.col("low") + WIDTH).alias("b"))
     first = F.min(F.struct("doc_id", "th", "p", "low", "high"))
-    classes = anchors.join(undecided, "g").groupBy("g", "e").agg(first.alias("f"))
-    wanted = classes.select("g", "f.*").groupBy("doc_id", "th").agg(F.collect_list(F.struct("g", "p", "low", "high")).alias("wanted"))
+    classes = durable(anchors.groupBy("g", "e").agg(F.count("*").alias("n"), first.alias("f")))
+    undecided = durable(classes.groupBy("g").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("g"))
+    settled = anchors.join(classes.where("n > 1").select("g", "e"), ["g", "e"]).select("doc_id", "th", (F.col("p") - F.col("high")).alias("a"), (F.col("p") - F.col("low") + WIDTH).alias("b"))
+    wanted = classes.join(undecided, "g").select("g", "f.*").groupBy("doc_id", "th").agg(F.collect_list(F.struct("g", "p", "low", "high")).alias("wanted"))
 
     x, w = rows.alias("x"), wanted.alias("w")
     same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.th") == F.col(f"{b}.th"))
