@@ -639,3 +639,63 @@ def test_pipeline_runs(spark):
         assert kept.columns == docs.columns, name
     assert 0 < kept.count() <= docs.count()
     assert corpus_pipeline.run(spark, d).select("doc_id").distinct().count() == kept.count()
+
+
+def test_pipeline_stages_equal_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    letters = {"en": "abcdef", "de": "ghijkl"}
+    word = lambda lang: "".join(rng.choice(letters[lang]) for _ in range(5))
+    line = lambda lang, n=14: " ".join(word(lang) for _ in range(n))
+    item = [word("en") for _ in range(40)]
+    menu = line("de", 3)
+    texts = []
+    for i in range(60):
+        lang = ("en", "de")[i % 2]
+        texts.append("\n".join([*[line(lang) for _ in range(4)], *([menu] if i % 5 == 0 and lang == "de" else [])]))
+    near = texts[10].split("\n")
+    texts += [texts[3], near[0].replace(near[0].split()[0], "zzz", 1) + "\n" + line("en", 2), None, "", "123 456 ?!", line("en") + " " + " ".join(item[:39] + [word("en")]) + " " + line("en")]
+    rows = [(i, t, ("en", "de")[i % 2] if t and i < 60 else None, "s", None, "kept") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, th string")
+    spark.createDataFrame([(1, " ".join(item)), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+
+    def run(name, df):
+        out = stages[name](spark, df, str(tmp_path))
+        assert out.columns == docs.columns
+        assert stages[name](spark, df.limit(0), str(tmp_path)).count() == 0
+        got = sorted(out.collect(), key=lambda r: r.doc_id)
+        assert {r.th for r in got} <= {"kept"}
+        return out, got
+
+    # documents without a letter go, the rest is predicted as its letters say
+    now, got = run("language", docs)
+    assert [r.doc_id for r in got] == [i for i, t in enumerate(texts) if t and re.search("[a-z]", t)]
+    assert all(r.lang == ("en" if re.match("[a-fz]", r.text) else "de") for r in got)
+    # a later line goes that is similar to an earlier one
+    before = [(r.doc_id, r.text) for r in got]
+    now, got = run("lines", now)
+    seen, want = [], {}
+    for i, t in before:
+        left = []
+        for x in t.split("\n"):
+            s = frozenset(x.split())
+            if not any(10 * len(s & o) >= 9 * len(s | o) for o in seen):
+                left.append(x)
+            seen.append(s)
+        if left:
+            want[i] = "\n".join(left)
+    assert {r.doc_id: r.text for r in got} == want and len(want) < len(before) and all(r.n_chars == len(r.text) for r in got)
+    # of near documents the first stays
+    copies = spark.createDataFrame([(100, want[0], "en", "s", 1, "kept"), (101, want[2] + " " + word("en"), "en", "s", 1, "kept")], docs.schema)
+    now, got = run("near_duplicates", now.unionByName(copies))
+    shingles = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in ((i, t.split()) for i, t in [*want.items(), (100, want[0]), (101, got and want[2])])}
+    assert {r.doc_id for r in got} == set(want) and all(5 * len(shingles[a] & shingles[b]) < 4 * len(shingles[a] | shingles[b]) for a in want for b in want if a < b)
+    # the document with the passage goes
+    now, got = run("decontamination", now)
+    assert {r.doc_id for r in got} == set(want) - {len(texts) - 1}
+    pieces = stages["packing"](spark, now, str(tmp_path)).collect()
+    assert {r.doc_id for r in pieces} == {r.doc_id for r in got}
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {r.doc_id for r in got}
