@@ -50,6 +50,12 @@ def shared_folder(spark: SparkSession) -> str:
     return held.get()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in any store that Spark can write to."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
