@@ -196,8 +196,8 @@ def build_paragraphs(turns: DataFrame) -> DataFrame:
     )
 
 
-def speaker_runs(words: DataFrame, gap: int = RUN_GAP) -> DataFrame:
-    """Consecutive lexical words of one known speaker, each at most gap after the latest end of the run.
+def run_words(words: DataFrame, gap: int = RUN_GAP) -> DataFrame:
+    """Lexical words of known speakers with run, their run of one speaker in which each begins at most gap after the latest end.
 
     words(recording_id, seg_ord, word_ord, s, e, speaker, text); those without
     times, letters, length or a known speaker are passed over. Runs are numbered
@@ -210,13 +210,19 @@ def speaker_runs(words: DataFrame, gap: int = RUN_GAP) -> DataFrame:
     # within an island the latest end of all is that of the run, as a run begins after every end before it
     inside = Window.partitionBy("recording_id", "island").orderBy("seg_ord", "word_ord")
     prior = F.max("e").over(inside.rowsBetween(Window.unboundedPreceding, -1))
-    cut = island.withColumn("b", F.coalesce((F.col("s") - prior > gap).cast("int"), F.lit(1))).withColumn("run", F.sum("b").over(w))
-    runs = cut.groupBy("recording_id", "run").agg(
+    cut = island.withColumn("b", F.coalesce((F.col("s") - prior > gap).cast("int"), F.lit(1))).withColumn("r", F.sum("b").over(w)).drop("c", "island", "b")
+    whole = Window.partitionBy("recording_id", "r")
+    first = F.first("s").over(whole.orderBy("seg_ord", "word_ord"))
+    number = F.dense_rank().over(Window.partitionBy("recording_id").orderBy("first", "last", "r")) - 1
+    return cut.withColumn("first", first).withColumn("last", F.max("e").over(whole)).withColumn("run", number.cast("long")).drop("first", "last", "r")
+
+
+def speaker_runs(words: DataFrame, gap: int = RUN_GAP) -> DataFrame:
+    """One row for each run of run_words()."""
+    return run_words(words, gap).groupBy("recording_id", "run").agg(
         F.first("speaker").alias("speaker"), F.min_by("s", F.struct("seg_ord", "word_ord")).alias("s"), F.max("e").alias("e"),
         F.count("*").alias("n_words"), F.count_distinct("seg_ord").alias("n_segments"), in_order(["seg_ord", "word_ord"], "text").alias("text"),
     )
-    number = F.row_number().over(Window.partitionBy("recording_id").orderBy("s", "e", "run")) - 1
-    return runs.withColumn("run", number.cast("long"))
 
 
 def known(speaker: str) -> Column:
@@ -224,8 +230,11 @@ def known(speaker: str) -> Column:
     return ~F.coalesce(F.col(speaker), F.lit("")).isin("", UNKNOWN, "None")
 
 
-def utterances(words: DataFrame, gap: int = UTTERANCE_GAP, most: int = UTTERANCE_MOST) -> DataFrame:
-    """Lexical words by time, whoever speaks, up to a pause over gap, a sentence's end, or most since the first start."""
+BY_TIME = ["s", "e", "seg_ord", "word_ord"]
+
+
+def utterance_words(words: DataFrame, gap: int = UTTERANCE_GAP, most: int = UTTERANCE_MOST) -> DataFrame:
+    """utterance, the number of each lexical word's utterance: words by time, whoever speaks, up to a pause over gap, a sentence's end, or most since the first start."""
 
     def step(state, row):
         start, end, ends = row
@@ -235,8 +244,13 @@ def utterances(words: DataFrame, gap: int = UTTERANCE_GAP, most: int = UTTERANCE
 
     rows = words.where(F.col("s").isNotNull() & F.col("e").isNotNull() & F.col("text").rlike(r"[\p{L}\p{N}]"))
     rows = rows.withColumn("ends", T.ends_sentence(F.trim("text")))
-    order = ["s", "e", "seg_ord", "word_ord"]
-    return fold_groups(rows, ["recording_id"], order, ["s", "e", "ends"], step).groupBy("recording_id", F.col("grp").alias("utterance")).agg(
+    return fold_groups(rows, ["recording_id"], BY_TIME, ["s", "e", "ends"], step).withColumnRenamed("grp", "utterance").drop("ends")
+
+
+def utterances(words: DataFrame, gap: int = UTTERANCE_GAP, most: int = UTTERANCE_MOST) -> DataFrame:
+    """One row for each utterance of utterance_words()."""
+    order = BY_TIME
+    return utterance_words(words, gap, most).groupBy("recording_id", "utterance").agg(
         F.min("s").alias("s"), F.max_by("e", F.struct(*order)).alias("e"), F.count("*").alias("n_words"),
         F.count_distinct("seg_ord").alias("n_segments"), in_order(order, "text").alias("text"),
     )
