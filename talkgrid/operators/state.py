@@ -272,3 +272,40 @@ def segment_majority(words: DataFrame) -> DataFrame:
     per = timed.groupBy("recording_id", "seg_ord", "speaker").agg(F.sum(F.greatest(F.lit(0), F.col("e") - F.col("s"))).alias("ms"), F.min("word_ord").alias("first"))
     best = per.withColumn("n", F.row_number().over(Window.partitionBy("recording_id", "seg_ord").orderBy(F.desc("ms"), "first"))).where("n = 1")
     return best.select("recording_id", "seg_ord", "speaker", "ms")
+
+
+def set_ranges(ranges: DataFrame, new: DataFrame) -> DataFrame:
+    """ranges(recording_id, turn_ord, s, e, choice) with room made for new ones of the same columns, at most one that meets each; those with a null choice only clear."""
+    key = ["recording_id", "turn_ord"]
+    cut = new.select(*key, F.col("s").alias("n_s"), F.col("e").alias("n_e"))
+    met = ranges.join(cut, key, "left").withColumn("hit", F.coalesce((F.col("e") > F.col("n_s")) & (F.col("s") < F.col("n_e")), F.lit(False)))
+    columns = [*key, "s", "e", "choice"]
+    hit = met.where("hit")
+    apart = ranges.join(hit.select(*columns), columns, "left_anti")
+    left = hit.where("s < n_s").withColumn("e", F.col("n_s")).select(*columns)
+    right = hit.where("e > n_e").withColumn("s", F.col("n_e")).select(*columns)
+    return apart.select(*columns).union(left).union(right).union(new.where("choice is not null").select(*columns))
+
+
+def cache_key(*parts: Column) -> Column:
+    """A key of all that a result depends on."""
+    return F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256)
+
+
+def cached(asked: DataFrame, cache: DataFrame) -> DataFrame:
+    """asked(id, key) with hit, whether the cache has the key; what it has not is to be made and appended."""
+    return asked.join(cache.select("key").distinct().withColumn("hit", F.lit(True)), "key", "left").select("id", "key", F.coalesce("hit", F.lit(False)).alias("hit"))
+
+
+def restore(now: DataFrame, saved: DataFrame) -> DataFrame:
+    """now(id, content, parts) with the saved choice of the same id if content and segmentation are the same, and blocked if one was saved for others."""
+    old = saved.select("id", F.col("content").alias("o_content"), F.col("parts").alias("o_parts"), "choice", F.lit(True).alias("held"))
+    same = (F.col("content") == F.col("o_content")) & (F.col("parts") == F.col("o_parts"))
+    return now.join(old, "id", "left").select("id", F.when(same, F.col("choice")).alias("choice"), F.coalesce(F.col("held") & ~same, F.lit(False)).alias("blocked"))
+
+
+def sync_labels(rows: DataFrame, aliases: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows with their speaker after aliases(source, target) and the label that labels(voice, label) gives it now."""
+    moved = aliases.select(F.col("source").alias("speaker"), "target")
+    named = rows.join(moved, "speaker", "left").withColumn("speaker", F.coalesce("target", "speaker")).drop("target")
+    return named.join(labels.select(F.col("voice").alias("speaker"), "label"), "speaker", "left").select(*rows.columns, "label")
