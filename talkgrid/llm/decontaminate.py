@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from talkgrid.llm._arrow import in_small_batches
 from talkgrid.llm._words import mix, slices, word_hashes
+from talkgrid.session import durable
 
 _U = np.uint64
 #: Items of fewer words have no edits allowed and are matched word for word.
@@ -332,12 +333,13 @@ class Index:
         return low + passage_start(own, words[low:end].tolist()) - begin, end - begin
 
 
-def _passes(benchmark: DataFrame) -> Iterator[Index]:
+def _passes(benchmark: DataFrame) -> Iterator[tuple[Index, bool]]:
+    """The indexes of the items, each with whether it is the only one."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     parts = max(1, -(-items.count() // ITEMS_PER_PASS))
     for part in range(parts):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()
-        yield Index([r.item_id for r in rows], [r.text for r in rows])
+        yield Index([r.item_id for r in rows], [r.text for r in rows]), parts == 1
 
 
 def _search(index, keep_all: bool):
@@ -374,8 +376,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     rows = in_small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     out = None
-    for index in _passes(benchmark):
-        found = rows.mapInArrow(_search(spark.sparkContext.broadcast(index), False), HITS)
+    for index, alone in _passes(benchmark):
+        sent = spark.sparkContext.broadcast(index)
+        found = rows.mapInArrow(_search(sent, False), HITS)
+        if not alone:  # one index at a time, on the driver too
+            found = durable(found)
+            sent.destroy()
         out = found if out is None else out.union(found)
     best = F.min(F.struct("distance", "first_word", "last_word")).alias("b")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.first_word", "b.last_word", "b.distance")
@@ -384,6 +390,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, whose text has no near passage of the benchmark."""
     rows = in_small_batches(docs)
-    for index in _passes(benchmark):
-        rows = rows.mapInArrow(_search(docs.sparkSession.sparkContext.broadcast(index), True), docs.schema)
+    for index, alone in _passes(benchmark):
+        sent = docs.sparkSession.sparkContext.broadcast(index)
+        rows = rows.mapInArrow(_search(sent, True), docs.schema)
+        if not alone:
+            rows = durable(rows)
+            sent.destroy()
     return rows

@@ -396,6 +396,18 @@ def test_decontamination_equals_exact_search(spark, lengths, least):
         assert abs(r.last_word - r.first_word - len(items[r.item_id])) <= r.distance
 
 
+def test_decontamination_in_passes(spark, monkeypatch):
+    from talkgrid.llm import decontaminate
+
+    rng = random.Random(2)
+    items = [[f"w{rng.randrange(500)}" for _ in range(12)] for _ in range(9)]
+    docs = spark.createDataFrame([(i, "x y z " + " ".join(w) + " z", "th") for i, w in enumerate(items)] + [(9, "nothing here", "th")], "doc_id long, text string, th string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "ITEMS_PER_PASS", 4)
+    assert {(r.doc_id, r.item_id, r.first_word, r.distance) for r in decontaminate.find_leaks(docs, bench).collect()} == {(i, i, 3, 0) for i in range(9)}
+    assert [tuple(r) for r in decontaminate.drop_leaks(docs, bench).collect()] == [(9, "nothing here", "th")]
+
+
 def test_decontamination_of_empty_tables(spark):
     from talkgrid.llm.decontaminate import drop_leaks, find_leaks
 
