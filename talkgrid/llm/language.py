@@ -28,6 +28,8 @@ SMOOTHING = 0.5
 #: Rounds of a document go on until none of its proportions moves by more.
 STILL = 1e-3
 UNKNOWN = "und"
+#: Labels that a model can tell apart; more of them are an error, as its table of BINS for each is sent to all workers.
+MOST_LABELS = 1000
 _SPACE = np.uint32(32)
 
 _LETTERS = _LOWER.copy()
@@ -131,7 +133,9 @@ def fit(docs: DataFrame, usable: Column | None = None) -> Model:
     """A model of the languages in docs.lang, from the rows where usable holds and lang is not null."""
     rows = docs.where("lang is not null and text is not null")
     rows = (rows if usable is None else rows.where(usable)).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LABELS + 1).collect()}
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} languages are labelled")
     languages = tuple(sorted(counts))
     if not languages:
         return Model((), np.zeros((BINS, 0)))
