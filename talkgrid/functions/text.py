@@ -71,3 +71,18 @@ def speaker_display(speaker: Column, label: Column) -> Column:
     voice = F.when(F.coalesce(speaker, F.lit("")) == "", F.lit("SPEAKER_UNKNOWN")).otherwise(speaker)
     named = F.when((F.coalesce(label, F.lit("")) != "") & (label != voice), F.concat(label, F.lit(" ["), voice, F.lit("]"))).otherwise(voice)
     return F.when(voice == "SPEAKER_UNKNOWN", F.lit("UNKNOWN")).otherwise(named)
+
+
+def one_space(text: Column) -> Column:
+    """Runs of any white space as one space, and none at either end."""
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+
+
+def short_id(length: int, *parts: Column) -> Column:
+    """The first length digits of a hash of the parts."""
+    return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, length)
+
+
+def canonical_json(fields: dict[str, Column]) -> Column:
+    """Compact JSON with its keys in order, the same for equal values."""
+    return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]))

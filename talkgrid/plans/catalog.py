@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from talkgrid.functions import text as T
 from talkgrid.operators import attribution as W
 from talkgrid.operators import intervals as I
-from talkgrid.plans import ranges, refinement, rules, sessions, signals, state, transcripts, voices  # noqa: F401  register their queries
+from talkgrid.plans import ranges, refinement, rules, scalars, sessions, signals, state, transcripts, voices  # noqa: F401  register their queries
 from talkgrid.plans.registry import ORACLES, QUERIES, query
 from talkgrid.sources import adapters as A
 
