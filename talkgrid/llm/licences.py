@@ -26,6 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from talkgrid.llm._scan import running
 from talkgrid.session import durable
 
 #: Documents whose paragraphs train the unknown class, those with the least hashes of doc_id and text.
@@ -208,13 +209,7 @@ def _lines(docs: DataFrame, lead: str) -> DataFrame:
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.lower("text").rlike(lead))
     # generated, so that each step is evaluated once
     parts = texts.select("doc_id", F.xxhash64("text").alias("th"), F.explode_outer(F.array(F.split("text", "\n"))).alias("parts"))
-    first = F.struct(F.lit(0).alias("run"), F.expr("cast(array() as array<int>)").alias("out"))
-
-    def mark(acc: Column, line: Column) -> Column:
-        run = acc["run"] + F.when(line.rlike(_WORD), 0).otherwise(1)
-        return F.struct(run.alias("run"), F.concat(acc["out"], F.array(run)).alias("out"))
-
-    runs = parts.select("doc_id", "th", "parts", F.explode_outer(F.array(F.aggregate("parts", first, mark, lambda acc: acc["out"]))).alias("runs"))
+    runs = parts.select("doc_id", "th", "parts", F.explode_outer(F.array(running(F.col("parts"), lambda x: F.when(x.rlike(_WORD), 0).otherwise(1)))).alias("runs"))
     line = lambda x, i: F.struct(F.get("runs", i).alias("run"), x.alias("line"), F.get("parts", i + 1).alias("n1"), F.get("parts", i + 2).alias("n2"))
     lines = runs.select("doc_id", "th", F.posexplode_outer(F.transform("parts", line)).alias("line_no", "x")).select("doc_id", "th", "line_no", "x.*")
     lines = lines.where(F.col("line").rlike(_WORD) & F.lower(F.concat_ws(" ", "line", "n1")).rlike(lead))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from talkgrid.llm._scan import bind
 from talkgrid.session import durable
 
 #: False rejections of good documents by all rules together, and the chance that a cutoff breaks its part of it.
@@ -33,11 +34,6 @@ SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 _SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 
-def _bind(value: Column, use) -> Column:
-    """use(value) with value evaluated once a row."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _repeat_words(words: Column) -> Column:
     """Words inside a window of WINDOW words that the text has twice or more; windows are told apart by 64-bit hashes."""
 
@@ -52,13 +48,13 @@ def _repeat_words(words: Column) -> Column:
             parts = F.transform(p, lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(p, i + 1) - x, F.lit(WINDOW))))
             return F.aggregate(parts, F.lit(0).cast("long"), lambda acc, x: acc + x)
 
-        return _bind(_bind(ranked, positions), total)
+        return bind(bind(ranked, positions), total)
 
     def of_hashes(h: Column) -> Column:
         grams = F.transform(F.slice(h, F.lit(1), F.size(h) - (WINDOW - 1)), lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, WINDOW)]))
-        return _bind(grams, lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0).cast("long")).otherwise(covered(g)))
+        return bind(grams, lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0).cast("long")).otherwise(covered(g)))
 
-    return F.when(F.size(words) <= WINDOW, F.lit(0).cast("long")).otherwise(_bind(F.transform(words, lambda w: F.xxhash64(w)), of_hashes))
+    return F.when(F.size(words) <= WINDOW, F.lit(0).cast("long")).otherwise(bind(F.transform(words, lambda w: F.xxhash64(w)), of_hashes))
 
 
 def statistics(docs: DataFrame, stratum: str = "lang") -> DataFrame:

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talkgrid.llm._scan import bind, running
 from talkgrid.session import durable
 
 #: Code points between two parts of one credential, at most.
@@ -44,15 +45,13 @@ def spans(text: Column, pattern: str, keep=None) -> Column:
     pieces = F.split(framed, f"[{_OPEN}{_CLOSE}]")
     none = F.expr("cast(array() as array<struct<s:bigint,e:bigint>>)")
 
-    def step(acc: Column, piece: Column) -> Column:
-        start = acc["at"]
-        end = start + F.length(piece)
-        good = acc["inside"] if keep is None else acc["inside"] & keep(piece)
-        found = F.when(good, F.concat(acc["out"], F.array(F.struct(start.alias("s"), end.alias("e"))))).otherwise(acc["out"])
-        return F.struct(end.alias("at"), (~acc["inside"]).alias("inside"), found.alias("out"))
+    def cut(p: Column) -> Column:
+        # every second piece is a match
+        ends = running(p, lambda x: F.length(x).cast("long"))
+        placed = bind(ends, lambda e: F.transform(p, lambda x, i: F.struct((e[i] - F.length(x)).alias("s"), e[i].alias("e"), ((i % 2 == 1) if keep is None else (i % 2 == 1) & keep(x)).alias("good"))))
+        return F.transform(F.filter(placed, lambda x: x["good"]), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
 
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.lit(False).alias("inside"), none.alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(pieces, first, step, lambda acc: acc["out"])).otherwise(none)
+    return F.when(text.rlike(pattern), bind(pieces, cut)).otherwise(none)
 
 
 def _named(found: Column, kind: str) -> Column:

@@ -231,6 +231,16 @@ def test_secrets_equal_brute_force(spark):
     assert S.find_secrets(docs.limit(0)).count() == 0
 
 
+def test_secrets_of_many_matches(spark):
+    from talkgrid.llm.secrets import find_secrets
+
+    text = ("0f" * 16 + " password=abcdefgh ") * 30_000
+    row = find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.n_hex == row.n_assign == 30_000
+    spans = row.spans.split(",")
+    assert spans[0] == "hex:0:32" and spans[1] == "assign:33:50" and spans[-1] == f"assign:{51 * 29_999 + 33}:{51 * 29_999 + 50}"
+
+
 def test_secrets_of_long_parts(spark):
     from talkgrid.llm.secrets import find_secrets
 
