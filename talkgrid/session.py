@@ -56,16 +56,22 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Shuffled bytes of a partition of what is kept, at least: each partition is a file, or two with its checksum.
+FILE_BYTES = 32 << 20
+_CLEANUP, _ADVISORY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of df by a checkpoint in the shared folder; the shuffle files that made it go at once."""
-    shared_folder(df.sparkSession)
-    conf = df.sparkSession.conf
-    before = conf.get(_CLEANUP, "false")
-    conf.set(_CLEANUP, "true")
+    """Cut the lineage of df by a checkpoint in the shared folder, in files that are not too small; the shuffle files that made it go at once."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_ADVISORY, "64m"))
+    wanted = {_CLEANUP: "true"} | ({_ADVISORY: str(FILE_BYTES)} if size < FILE_BYTES else {})
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         return df.select("*").checkpoint(eager=True)
     finally:
-        conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
