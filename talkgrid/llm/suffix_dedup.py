@@ -349,7 +349,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         large = durable(items.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > MOST).select("g"))
         none = large.isEmpty()
         small = items if none else items.join(large, "g", "left_anti").select(*items.columns)
-        found.append(durable(small.repartition("g").sortWithinPartitions("g").mapInArrow(_solve, ITEMS).select("doc_id", "th", "p", "low", "high")))
+        # by a hash, as a repartition by the key of the join above is left out, and the join's own may be read in another order
+        found.append(durable(small.repartition(F.xxhash64("g")).sortWithinPartitions("g").mapInArrow(_solve, ITEMS).select("doc_id", "th", "p", "low", "high")))
         if none:
             break
         big = items.join(large, "g", "left_semi").select(*items.columns)
