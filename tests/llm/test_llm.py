@@ -163,9 +163,14 @@ def test_suffix_dedup_equals_brute_force(spark, docs, monkeypatch):
             if count[b[k : k + 400]] > 1:
                 cover[k : k + 400] = b"\1" * 400
         want[i, len(b), sum(cover), bytes(x for x, c in zip(b, cover, strict=True) if not c)] += 1
-    for most in (1000, 3):
+    # without coalescing, groups that are cut apart between tasks show
+    for most, coalesce in ((1000, "true"), (3, "true"), (3, "false")):
         monkeypatch.setattr(suffix_dedup, "MOST", most)
-        got = suffix_dedup.remove_repeats(docs).collect()
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+        try:
+            got = suffix_dedup.remove_repeats(docs.repartition(3)).collect()
+        finally:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
         assert Counter((r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept)) for r in got) == want
 
 
