@@ -44,7 +44,8 @@ def fold_groups(rows: DataFrame, keys: list[str], order: list[str], needs: list[
                 out.append(grp)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*names, "grp"])
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    # by a hash, as a repartition by the keys of a join above is left out, and the join's own may be read in another order
+    return rows.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def in_order(order: list[str], value: Column | str, mark: str = " ") -> Column:

@@ -11,6 +11,8 @@ from talkgrid.operators import intervals as I
 RATE = 16_000
 #: Samples this large are clipped.
 CLIPPED = 0.995
+#: Samples of a frame, frames that are looked at, the voice's range in Hz, and what share of the power a voiced lag holds.
+FRAME, FRAMES, LOWEST, HIGHEST, VOICED = RATE // 25, 60, 60, 650, 0.3
 
 
 def _mean_square(x: Column) -> Column:
@@ -40,30 +42,29 @@ def levels(rows: DataFrame, samples: str = "samples") -> DataFrame:
 
 
 def pitch_of(samples) -> tuple[float | None, float | None]:
-    """Median pitch in Hz and its variation over up to 60 spaced frames of 40 ms, or nothing from fewer than three voiced ones."""
+    """Median pitch in Hz and its variation over up to FRAMES spaced frames, or nothing from fewer than three voiced ones.
+
+    All frames are correlated with themselves at once, through their power
+    spectra; the best lag of a voice's range must hold VOICED of the frame's power.
+    """
     import numpy as np
 
-    x = np.asarray(samples, dtype=np.float32)
-    size = RATE // 25
-    if len(x) < size:
+    x = np.asarray(samples, dtype=np.float64)
+    whole = x[: len(x) // FRAME * FRAME].reshape(-1, FRAME)
+    if not len(whole):
         return None, None
-    count = (len(x) - size) // size + 1
-    found = []
-    for k in np.unique(np.linspace(0, count - 1, min(60, count)).astype(int)):
-        frame = x[k * size : (k + 1) * size]
-        frame = frame - frame.mean()
-        if np.sqrt(np.mean(frame * frame)) < 0.005:
-            continue
-        frame = frame * np.hanning(size)
-        alike = np.correlate(frame, frame, mode="full")[size - 1 :]
-        lags = alike[RATE // 650 : RATE // 60 + 1]
-        lag = int(np.argmax(lags)) + RATE // 650
-        if alike[0] > 0 and alike[lag] / alike[0] >= 0.3:
-            found.append(RATE / lag)
+    picks = np.floor(np.arange(FRAMES) * (len(whole) - 1) / (FRAMES - 1)).astype(int) if len(whole) > FRAMES else np.arange(len(whole))
+    frames = whole[picks] - whole[picks].mean(axis=1, keepdims=True)
+    frames = frames[np.sqrt(np.mean(frames**2, axis=1)) >= 0.005] * np.hanning(FRAME)
+    power = np.abs(np.fft.rfft(frames, 2 * FRAME, axis=1)) ** 2
+    alike = np.fft.irfft(power, axis=1)
+    low, high = RATE // HIGHEST, RATE // LOWEST
+    lag = alike[:, low : high + 1].argmax(axis=1) + low
+    found = RATE / lag[alike[np.arange(len(lag)), lag] >= VOICED * alike[:, 0]]
     if len(found) < 3:
         return None, None
-    middle = float(np.median(np.asarray(found, dtype=np.float32)))
-    return round(middle, 2), round(float(np.std(np.asarray(found, dtype=np.float32))) / max(middle, 1.0), 3)
+    middle = float(np.median(found))
+    return round(middle, 2), round(float(found.std()) / max(middle, 1.0), 3)
 
 
 def pitches(rows: DataFrame, samples: str = "samples") -> DataFrame:
