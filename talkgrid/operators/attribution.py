@@ -49,7 +49,8 @@ def exclusive(timeline: DataFrame) -> DataFrame:
     # an empty row of another speaker cuts, too
     points = rows.where("start = end").select("recording_id", "speaker", F.col("start").alias("s"), F.col("end").alias("e"))
     cut = I.subtract(alone.withColumn("until", F.col("e")), points, ["recording_id", "speaker", "part", "until"], apart="speaker")
-    pieces = cut.select("recording_id", "speaker", (F.col("s") + TRIM_MS).alias("start"), (F.col("e") - TRIM_MS).alias("end"))
+    # pieces of different ends may be equal once they are cut
+    pieces = cut.select("recording_id", "speaker", (F.col("s") + TRIM_MS).alias("start"), (F.col("e") - TRIM_MS).alias("end")).distinct()
     return I.merge(pieces.where(F.col("end") - F.col("start") >= LEAST_MS), ["recording_id", "speaker"], JOIN_MS)
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from talkgrid.functions import text as T
+from talkgrid.operators import attribution as W
 from talkgrid.operators import identity as Y
 from talkgrid.operators import intervals as I
 from talkgrid.operators import rules as R
@@ -77,6 +78,12 @@ def test_interval_algebra(spark):
     assert pairs(I.fixed_windows(spans((0, 15_000)), ["recording_id", "ord"]).select(F.col("w_s").alias("s"), F.col("w_e").alias("e"))) == [(100, 6100), (6100, 12_100), (12_100, 14_900)]
 
 
+def test_exclusive_pieces_count_once(spark):
+    # two rows of one speaker that end apart, cut at one place by an empty row of another
+    t = spark.createDataFrame([(1, 0, 0.0, 9.0, "A"), (1, 1, 0.0, 8.0, "A"), (1, 2, 4.0, 4.0, "B")], "recording_id int, ord int, start double, end double, speaker string")
+    assert sorted((r.start, r.end, r.n_rows) for r in W.exclusive(t).collect()) == [(80, 3920, 1), (4080, 8920, 2)]
+
+
 def test_even_pick_equals_linspace(spark):
     for n in (65, 100, 127, 1000):
         rows = spark.range(n).where(I.even_pick(F.col("id"), F.lit(n), 64))
