@@ -7,6 +7,9 @@ says so.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,6 +22,8 @@ MATCH, MATCH_CHILD, MARGIN = 0.70, 0.78, 0.15
 LONG, USABLE, SHORT_CLIPS, SHORT_SECONDS, SHORT_ALIKE = 2.5, 0.8, 5, 8.0, 0.70
 #: References up to so many rows are sent to all tasks; more are met in blocks.
 BROADCAST_ROWS, BLOCKS = 2000, 16
+#: Queries and members that meet in a cell, about, and members of a condition in a block, at most.
+CELL_QUERIES, CELL_MEMBERS, BLOCK_MEMBERS = 4096, 16384, 4096
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -102,18 +107,111 @@ def against_all(queries: DataFrame, references: DataFrame) -> DataFrame:
     return queries.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long")))).join(references.withColumn("__block", block), "__block").drop("__block")
 
 
+def _matrix(vectors: pa.ListArray) -> np.ndarray:
+    """Vectors as rows; different lengths are an error."""
+    values = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if len(vectors) and len(pc.unique(pc.list_value_length(vectors))) > 1:
+        raise ValueError("vectors differ in length")
+    return values.reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 0))
+
+
+def _two_best(vectors: np.ndarray, members: np.ndarray, enough: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two highest similarities of each vector to members; a vector is done once both reach enough."""
+    first, second = np.full(len(vectors), -np.inf), np.full(len(vectors), -np.inf)
+    live, at, step = np.arange(len(vectors)), 0, 64
+    while at < len(members) and len(live):
+        found = vectors[live] @ members[at : at + step].T
+        if found.shape[1] > 1:
+            two = np.partition(found, -2, axis=1)
+            a, b = two[:, -1], two[:, -2]
+        else:
+            a, b = found[:, 0], np.full(len(live), -np.inf)
+        x, y = first[live], second[live]
+        first[live], second[live] = np.maximum(x, a), np.maximum(np.minimum(x, a), np.maximum(y, b))
+        live = live[second[live] < enough[live]]
+        at, step = at + step, min(2 * step, 1024)
+    return first, second
+
+
+def _cell(queries: pa.Table, blocks: pa.Table) -> pa.Table:
+    """query, voice, cond, cap, s1, s2 of queries(query, vector, own, q, p) with blocks(voice, cond, own, whole, centroid, members, q, p).
+
+    cap is the similarity to a condition's centroid, s1 and s2 are the highest
+    ones to members, as far as they matter under cap. Conditions that are here
+    as a whole are one row a voice, in which all three are the score.
+    """
+    names, voice = ["query", "voice", "cond", "cap", "s1", "s2"], blocks["voice"].combine_chunks()
+    vectors = queries["vector"].combine_chunks()
+    ok = np.asarray(vectors.is_valid())
+    matrix = _matrix(vectors.filter(pa.array(ok)))
+    ok[ok] = ~np.isnan(matrix).any(axis=1)
+    full = np.zeros((len(ok), matrix.shape[1]))
+    full[np.asarray(vectors.is_valid())] = matrix
+    own = np.array(queries["own"].to_pylist(), dtype=object)
+    at: dict = {}
+    for i, v in enumerate(voice.to_pylist()):
+        at.setdefault(v, []).append(i)
+    out = []
+
+    def put(rows: np.ndarray, i: int, cond: int, *scores: np.ndarray) -> None:
+        columns = [pa.array(x, from_pandas=True) for x in scores]
+        out.append(pa.table([queries["query"].combine_chunks().take(pa.array(rows)), voice.take(pa.array(np.full(len(rows), i))), pa.array(np.full(len(rows), cond)), *columns], names=names))
+
+    for mine in at.values():
+        best, seen = np.full(len(ok), -np.inf), np.zeros(len(ok), dtype=bool)
+        for i in mine:
+            ref = blocks["own"][i].as_py()
+            meets = np.array([x is not None and ref is not None and x != ref for x in own], dtype=bool)
+            centre = np.array(blocks["centroid"][i].as_py(), dtype=np.float64)
+            members = _matrix(pc.drop_null(blocks["members"][i].values))
+            members = members[~np.isnan(members).any(axis=1)]
+            if len(full[ok]) and len(centre) != full.shape[1]:
+                raise ValueError("vectors differ in length")
+            seen |= meets
+            rows = np.flatnonzero(meets & ok)
+            cap = np.zeros(len(rows))
+            for k in range(len(centre)):  # summed as elsewhere, one place after another
+                cap = cap + full[rows, k] * centre[k]
+            whole = blocks["whole"][i].as_py()
+            if whole:
+                rows, cap = rows[cap > best[rows]], cap[cap > best[rows]]
+            # those near the centroid first, as they reach cap soonest
+            members = members[np.argsort(-(members @ centre), kind="stable")] if len(members) else members
+            s1, s2 = _two_best(full[rows], members, cap)
+            if whole:
+                best[rows] = np.maximum(best[rows], np.where(s2 == -np.inf, cap, np.minimum(cap, s2)))
+            elif len(rows):
+                put(rows, i, blocks["cond"][i].as_py(), cap, s1, s2)
+        # none to say of queries without a vector
+        rows = np.flatnonzero(seen & ((best > -np.inf) | ~ok))
+        if len(rows):
+            score = np.where(ok[rows], best[rows], np.nan)
+            put(rows, mine[0], -1 - blocks["p"][mine[0]].as_py(), score, score, score)
+    return pa.concat_tables(out) if out else pa.table([queries["query"].combine_chunks()[:0], voice[:0], pa.array([], pa.int64()), *[pa.array([], pa.float64())] * 3], names=names)
+
+
 def consensus(queries: DataFrame, conditions: DataFrame, apart: str | None = None) -> DataFrame:
     """query, voice and score: the best over a voice's conditions of the lesser of the similarity to the centroid and that to the second nearest member.
 
     queries(query, vector, ...). With apart, a column of both, conditions of the
-    query's own value do not count.
+    query's own value do not count. Queries and blocks of members meet in cells
+    of a bounded size. As the centroid bounds a score, a condition is done for a
+    query once two members reach it; otherwise all members are compared.
     """
-    refs = conditions.select("voice", F.col("members"), F.col("centroid"), *([F.col(apart).alias("__own")] if apart else []))
-    met = against_all(queries.select("query", "vector", *([apart] if apart else [])), refs)
-    if apart:
-        met = met.where(F.col(apart) != F.col("__own"))
-    support = F.sort_array(F.transform("members", lambda m: dot("vector", m)), asc=False)
-    return met.groupBy("query", "voice").agg(F.max(F.least(dot("vector", "centroid"), F.get(support, F.lit(1)))).alias("score"))
+    every = F.size("members")
+    other = lambda default: F.col(apart).cast("string") if apart else F.lit(default)
+    refs = conditions.select("voice", F.xxhash64(*conditions.columns).bitwiseAND((1 << 63) - 1).alias("cond"), other("reference").alias("own"), "centroid", "members")
+    n = conditions.agg(F.sum(every).alias("n")).first()["n"] or 0
+    q, p = -(-queries.count() // CELL_QUERIES) or 1, -(-n // CELL_MEMBERS) or 1
+    deal = lambda to: F.explode(F.sequence(F.lit(0), F.lit(to - 1)))
+    blocks = refs.where(every > 0).withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((every - 1) / BLOCK_MEMBERS).cast("int"))))
+    blocks = blocks.select("voice", "cond", "own", (every <= BLOCK_MEMBERS).alias("whole"), "centroid", F.slice("members", F.col("block") * BLOCK_MEMBERS + 1, F.lit(BLOCK_MEMBERS)).alias("members"), F.pmod(F.xxhash64("cond", "block"), F.lit(p)).cast("int").alias("p")).withColumn("q", deal(q))
+    rows = queries.select("query", "vector", other("query").alias("own"), F.pmod(F.xxhash64("query"), F.lit(q)).cast("int").alias("q")).withColumn("p", deal(p))
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    met = rows.groupBy("q", "p").cogroup(blocks.groupBy("q", "p")).applyInArrow(_cell, f"query {kind(queries, 'query')}, voice {kind(conditions, 'voice')}, cond long, cap double, s1 double, s2 double")
+    second = F.get(F.sort_array(F.flatten(F.collect_list(F.array("s1", "s2"))), asc=False), F.lit(1))
+    of_each = met.groupBy("query", "voice", "cond").agg(F.max("cap").alias("cap"), second.alias("second"))
+    return of_each.groupBy("query", "voice").agg(F.max(F.least("cap", "second")).alias("score"))
 
 
 def suggestions(scores: DataFrame, profiles: DataFrame, k: int = 3) -> DataFrame:

@@ -125,6 +125,30 @@ def test_blocks_meet_all_references(spark, monkeypatch):
     assert V.against_all(q, r).distinct().count() == 350
 
 
+def test_consensus_in_cells_equals_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    unit = lambda v: (v / np.linalg.norm(v)).tolist()
+    refs = [(f"v{i % 3}", i % 4, [unit(rng.normal(size=6) + i % 3) for _ in range(2 + 5 * i)], unit(rng.normal(size=6) + i % 3)) for i in range(8)]
+    ask = [(i, unit(rng.normal(size=6)), i % 4) for i in range(60)] + [(60, None, 1)]
+    conditions = spark.createDataFrame(refs, "voice string, session int, members array<array<double>>, centroid array<double>")
+    queries = spark.createDataFrame(ask, "query int, vector array<double>, session int")
+    for sizes in ((4096, 16384, 4096), (16, 20, 7)):
+        for name, x in zip(("CELL_QUERIES", "CELL_MEMBERS", "BLOCK_MEMBERS"), sizes, strict=True):
+            monkeypatch.setattr(V, name, x)
+        for apart in (None, "session"):
+            want = {}
+            for q, vector, session in ask:
+                for voice, other, members, centre in refs:
+                    if not apart or session != other:
+                        one = None if vector is None else min(float(np.dot(vector, centre)), sorted(float(np.dot(vector, m)) for m in members)[-2])
+                        want[q, voice] = one if one is None else max(one, want.get((q, voice), -2.0))
+            met = V.consensus(queries, conditions, apart)
+            # in place of each query with each member, cells
+            assert "CartesianProduct" not in (plan := met._jdf.queryExecution().toString()) and "NestedLoop" not in plan
+            got = {(r.query, r.voice): r.score for r in met.collect()}
+            assert got.keys() == want.keys() and all(got[k] == want[k] if want[k] is None else abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
 def test_reference_conditions_of_short_clips(spark):
     def score(clips):
         rows = [("v", 0, i, sec, True, vec) for i, (sec, vec) in enumerate(clips)]
