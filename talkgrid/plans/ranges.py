@@ -143,8 +143,7 @@ def boundary_split(spark, d):
 )
 def clean_spans(spark, d):
     t = D.timeline(spark, d)
-    events = I.raw_overlaps(t).select("recording_id", (F.col("s") - 150).alias("s"), (F.col("e") + 150).alias("e"))
-    return I.subtract(t, events, ["recording_id", "ord"]).where("e - s >= 2500")
+    return I.subtract(t, I.overlap_union(t, 150), ["recording_id", "ord"]).where("e - s >= 2500")
 
 
 _SPANS = f"{_merged('m', 'tm', 'recording_id, speaker')}"

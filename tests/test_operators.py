@@ -90,6 +90,19 @@ def test_exclusive_pieces_count_once(spark):
     assert sorted((r.start, r.end, r.n_rows) for r in W.exclusive(t).collect()) == [(80, 3920, 1), (4080, 8920, 2)]
 
 
+def test_overlap_union_equals_pairs(spark):
+    rng = random.Random(11)
+    rows = [(r, i, s := rng.randrange(0, 4000, 20), s + rng.choice([0, 20, 60, 200, 300]), rng.choice("ABC")) for r in (1, 2) for i in range(60)]
+    got = sorted(map(tuple, I.overlap_union(spark.createDataFrame(rows, "recording_id int, ord int, s long, e long, speaker string"), 15).select("recording_id", "s", "e").collect()))
+    want = []
+    for r, s, e in sorted({(a[0], max(a[2], b[2]) - 15, min(a[3], b[3]) + 15) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[4] != b[4] and b[3] > a[2] and b[2] < a[3]}):
+        if want and want[-1][0] == r and s <= want[-1][2]:
+            want[-1] = (r, want[-1][1], max(want[-1][2], e))
+        else:
+            want.append((r, s, e))
+    assert len(want) > 5 and got == want
+
+
 def test_even_pick_equals_linspace(spark):
     for n in (65, 100, 127, 1000):
         rows = spark.range(n).where(I.even_pick(F.col("id"), F.lit(n), 64))
