@@ -135,6 +135,20 @@ def test_line_dedup_joins_beyond_the_broadcast(spark, docs, monkeypatch):
     assert {(r.doc_id, tuple(r.removed)) for r in lines.removed_lines(docs).collect()} == want
 
 
+def test_line_dedup_ranks_of_raw_texts(spark):
+    from pyspark.sql import functions as F
+
+    from talkgrid.llm import lines
+
+    docs = spark.createDataFrame([(0, "A\ta\r\na  b")], "doc_id long, text string")
+    rank = lambda w: F.get(lines._ranks(docs), lines._bucket(F.xxhash64(F.lit(w))))
+    assert tuple(spark.range(1).select(rank("a"), rank("b")).first()) == (4, 0)
+    words = [f"word{k}" for k in range(12)]
+    texts = [" ".join(words), "\x0b".join(words), "\x0c ".join(words).upper(), "\t".join(words[1:]) + "\r"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.removed for r in lines.removed_lines(docs).collect()} == {1: [0], 2: [0], 3: [0]}
+
+
 def test_line_dedup_of_whole_documents(spark):
     from talkgrid.llm.lines import dedup_lines
 
