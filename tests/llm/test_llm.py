@@ -740,3 +740,21 @@ def test_pipeline_stages_equal_brute_force(spark, tmp_path):
     pieces = stages["packing"](spark, now, str(tmp_path)).collect()
     assert {r.doc_id for r in pieces} == {r.doc_id for r in got}
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {r.doc_id for r in got}
+
+
+def test_components_of_a_chain_hold_small_estimates(spark, monkeypatch):
+    from talkgrid.llm import _graph
+
+    bits, plain = [], _graph.durable
+
+    def kept(df):
+        out = plain(df)
+        size = out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        bits.append(int(size).bit_length())
+        return out
+
+    monkeypatch.setattr(_graph, "durable", kept)
+    links = spark.range(3000).selectExpr("2 * id as u", "2 * (id + 1) as v").union(spark.createDataFrame([(9, 9), (7, 11), (11, 7)], "u long, v long"))
+    groups = Counter(r.label for r in _graph.connected_components(links).collect())
+    assert sorted(groups.values()) == [2, 3001]
+    assert len(bits) > 20 and max(bits) <= 63
