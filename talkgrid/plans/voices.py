@@ -67,26 +67,32 @@ cond AS (SELECT voice, session, 'long' AS kind, members, c FROM lm JOIN lc USING
 )
 
 
-def conditions(spark, d):
-    return durable(V.reference_conditions(observations(spark, d)))
+def kept(spark, d):
+    """The observations, normalised once for all that reads them."""
+    return durable(observations(spark, d))
+
+
+def conditions(every):
+    return durable(V.reference_conditions(every))
 
 
 @query("reference_conditions", CONDITIONS_SQL + " SELECT voice, session, kind, len(members) AS n, round(list_sum(c), 4) AS total FROM cond")
 def reference_conditions(spark, d):
-    return conditions(spark, d).select("voice", "session", "kind", F.size("members").alias("n"), F.round(_total("centroid"), 4).alias("total"))
+    return conditions(kept(spark, d)).select("voice", "session", "kind", F.size("members").alias("n"), F.round(_total("centroid"), 4).alias("total"))
 
 
 _SECOND = "list_reverse_sort(list_transform(members, lambda m: list_dot_product(q.unit, m)))[2]"
 CONSENSUS_SQL = CONDITIONS_SQL + f", sco AS (SELECT q.ord AS query, c.voice, max(least(list_dot_product(q.unit, c.c), {_SECOND})) AS score FROM obs q, cond c WHERE NOT q.verified GROUP BY 1, 2)"
 
 
-def unverified(spark, d):
-    return observations(spark, d).where("not verified").select(F.col("ord").alias("query"), F.col("unit").alias("vector"), "voice", "session", "clean_seconds")
+def unverified(every):
+    return every.where("not verified").select(F.col("ord").alias("query"), F.col("unit").alias("vector"), "voice", "session", "clean_seconds")
 
 
 @query("consensus_similarity", CONSENSUS_SQL + f" SELECT query, voice, {_R4.format('score')} AS score FROM sco")
 def consensus_similarity(spark, d):
-    return V.consensus(unverified(spark, d), conditions(spark, d)).withColumn("score", V.rounded(F.col("score")))
+    every = kept(spark, d)
+    return V.consensus(unverified(every), conditions(every)).withColumn("score", V.rounded(F.col("score")))
 
 
 def roles(spark, d):
@@ -101,7 +107,8 @@ def roles(spark, d):
 SELECT query, rank, voice, similarity, rank = 1 AND similarity >= CASE WHEN voice % 3 = 0 THEN 0.85 ELSE 0.80 END AND similarity - coalesce(lead(similarity) OVER (PARTITION BY query ORDER BY rank), -1) >= 0.20 AS suggested FROM top""",
 )
 def nearest_profiles(spark, d):
-    return V.suggestions(V.consensus(unverified(spark, d), conditions(spark, d)), roles(spark, d))
+    every = kept(spark, d)
+    return V.suggestions(V.consensus(unverified(every), conditions(every)), roles(spark, d))
 
 
 # windows of a speaker of a recording: of one voice mostly, the others disputed or outliers
@@ -154,7 +161,7 @@ FROM (SELECT voice, session, clean_seconds, verified AND voice <> 7 AND (voice <
 )
 def profile_catalog(spark, d):
     rows = observations(spark, d).withColumn("verified", F.expr("verified and voice <> 7 and (voice <> 8 or ord % 100 = 8)"))
-    ready = conditions(spark, d).where("voice not in (7, 8)").select("voice").distinct().withColumn("ready", F.lit(True))
+    ready = conditions(kept(spark, d)).where("voice not in (7, 8)").select("voice").distinct().withColumn("ready", F.lit(True))
     per = rows.groupBy("voice").agg(
         F.count_if("verified").alias("verified_windows"), F.count_distinct(F.when(F.col("verified"), F.col("session"))).alias("sessions"),
         F.sum(F.when(F.col("verified"), F.round(F.col("clean_seconds") * 10).cast("long")).otherwise(0)).alias("tenths"), F.max("verified").alias("any"),
@@ -208,12 +215,12 @@ tr AS (SELECT *, score >= CASE WHEN voice % 3 = 0 THEN 0.78 ELSE 0.70 END AND sc
     _TRIALS + " SELECT count(*) AS trials, count(*) FILTER (WHERE accepted) AS accepted, count(*) FILTER (WHERE accepted AND voice <> truth) AS incorrect, count(*) FILTER (WHERE NOT accepted) AS abstentions FROM tr",
 )
 def evaluate_leave_one_out(spark, d):
-    every = durable(observations(spark, d))
+    every = kept(spark, d)
     rows = every.where("verified")
     # of the true voice something must be left without the observation's recording
     left = rows.groupBy("voice").agg(F.count_distinct("session").alias("n")).where("n > 1").select("voice")
     queries = rows.join(left, "voice", "left_semi").select(F.col("ord").alias("query"), F.col("unit").alias("vector"), "session", F.col("voice").alias("truth"))
-    scores = V.consensus(queries, durable(V.reference_conditions(every)), apart="session")
+    scores = V.consensus(queries, conditions(every), apart="session")
     voices = every.select("voice").distinct()
     full = V.against_all(queries.select("query"), voices).join(scores, ["query", "voice"], "left").withColumn("score", F.coalesce("score", F.lit(-1.0)))
     best = V.winners(full, descending=True).join(roles(spark, d), "voice").join(queries.select("query", "truth"), "query")
@@ -244,10 +251,11 @@ bl AS (SELECT grp, voice, score, margin, votes, compared, list_filter([CASE WHEN
 def identify_gates(spark, d):
     from talkgrid.operators import identity as Y
 
-    o = observations(spark, d).where("not verified")
+    every = kept(spark, d)
+    o = every.where("not verified")
     grp = F.col("session") * 100 + F.when(F.col("ord") % 12 == 0, (F.col("voice") + 1) % 10).otherwise(F.col("voice"))
-    rows = durable(o.select(grp.alias("grp"), "ord", "unit", "clean_seconds", (F.col("ord") % 8 != 4).alias("retained"), (F.col("ord") % 24 == 4).alias("disputed")))
-    out = Y.gates(rows, conditions(spark, d), roles(spark, d))
+    rows = o.select(grp.alias("grp"), "ord", "unit", "clean_seconds", (F.col("ord") % 8 != 4).alias("retained"), (F.col("ord") % 24 == 4).alias("disputed"))
+    out = Y.gates(rows, conditions(every), roles(spark, d))
     return out.select("grp", "voice", V.rounded(F.col("score")).alias("similarity"), V.rounded(F.col("margin")).alias("margin"), "votes", "compared", F.array_join("blockers", ",").alias("blockers"), F.when(F.size("blockers") == 0, "matched").otherwise("unresolved").alias("status"))
 
 
