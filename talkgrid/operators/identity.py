@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from talkgrid.operators import vectors as V
 from talkgrid.operators.rules import listed
+from talkgrid.session import durable
 
 MERGE = 0.72
 
@@ -29,11 +30,14 @@ def gates(windows: DataFrame, conditions: DataFrame, profiles: DataFrame) -> Dat
     rule. profiles(voice, role).
     """
     good = windows.where("retained and not disputed")
-    centres = V.centroids(good, ["grp"])
-    of_group = V.winners(V.consensus(centres.select(F.col("grp").alias("query"), F.col("centroid").alias("vector")), conditions)).join(profiles, "voice", "left")
-    best = of_group.select(F.col("query").alias("grp"), "voice", "score", "margin", F.when(F.col("role") == "child", V.MATCH_CHILD).otherwise(V.MATCH).alias("need"))
-    each = V.winners(V.consensus(windows.select(F.col("ord").alias("query"), F.col("unit").alias("vector")), conditions))
-    each = each.select(F.col("query").alias("ord"), F.col("voice").alias("w_voice"), F.col("score").alias("w_score"), F.col("margin").alias("w_margin"))
+    part = lambda df, c: F.col(c) if c in df.columns else F.lit(None).cast(windows.schema[c].dataType)
+    ask = lambda df, vector: df.select(F.struct(part(df, "grp").alias("grp"), part(df, "ord").alias("ord")).alias("query"), F.col(vector).alias("vector"))
+    # groups and windows meet the conditions in one comparison
+    asked = ask(V.centroids(good, ["grp"]), "centroid").unionByName(ask(windows.drop("grp"), "unit"))
+    found = durable(V.winners(V.consensus(asked, conditions))).select("query.*", "voice", "score", "margin")
+    of_group = found.where("ord is null").join(profiles, "voice", "left")
+    best = of_group.select("grp", "voice", "score", "margin", F.when(F.col("role") == "child", V.MATCH_CHILD).otherwise(V.MATCH).alias("need"))
+    each = found.where("ord is not null").select("ord", F.col("voice").alias("w_voice"), F.col("score").alias("w_score"), F.col("margin").alias("w_margin"))
     rows = windows.join(best, "grp").join(each, "ord")
     vote = (F.col("w_voice") == F.col("voice")) & (F.col("w_score") >= F.col("need")) & (F.col("w_margin") >= V.MARGIN)
     counts = F.col("retained") & ~F.col("disputed")
